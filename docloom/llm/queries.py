@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docloom.llm import skeleton
+from docloom.llm import leaks, skeleton
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,5 +23,13 @@ def p10_groups(spark: SparkSession, folder: str) -> DataFrame:
     return skeleton.look_alike_groups(table(spark, folder, "documents"))
 
 
-QUERIES: dict[str, Query] = {"p10_found": p10_found, "p10_groups": p10_groups}
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return leaks.leaks(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
+
+
+def p8_report(spark: SparkSession, folder: str) -> DataFrame:
+    return leaks.leak_report(p8_found(spark, folder), table(spark, folder, "eval_items"))
+
+
+QUERIES: dict[str, Query] = {"p8_found": p8_found, "p8_report": p8_report, "p10_found": p10_found, "p10_groups": p10_groups}
 SQL: dict[str, str] = {}
