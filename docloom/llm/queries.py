@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docloom.llm import leaks, skeleton
+from docloom.llm import leaks, skeleton, survivors
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,6 +23,14 @@ def p10_groups(spark: SparkSession, folder: str) -> DataFrame:
     return skeleton.look_alike_groups(table(spark, folder, "documents"))
 
 
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    return survivors.surviving_fields(*(table(spark, folder, t) for t in ("procedure_documents", "duplicate_groups", "path_roots")))
+
+
+def p1_records(spark: SparkSession, folder: str) -> DataFrame:
+    return survivors.surviving_records(*(table(spark, folder, t) for t in ("procedure_documents", "duplicate_groups", "path_roots")))
+
+
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return leaks.leaks(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
 
@@ -31,5 +39,5 @@ def p8_report(spark: SparkSession, folder: str) -> DataFrame:
     return leaks.leak_report(p8_found(spark, folder), table(spark, folder, "eval_items"))
 
 
-QUERIES: dict[str, Query] = {"p8_found": p8_found, "p8_report": p8_report, "p10_found": p10_found, "p10_groups": p10_groups}
+QUERIES: dict[str, Query] = {"p1_found": p1_found, "p1_records": p1_records, "p8_found": p8_found, "p8_report": p8_report, "p10_found": p10_found, "p10_groups": p10_groups}
 SQL: dict[str, str] = {}
