@@ -6,7 +6,30 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from docloom.operators import nested
+
 Query = Callable[[SparkSession, str], DataFrame]
 
-QUERIES: dict[str, Query] = {}
+
+
+def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    return nested.node_table(table(spark, folder, "procedure_raw")).select("raw_id", "node_address", "parent_address")
+
+
+def p6_nodes(spark: SparkSession, folder: str) -> DataFrame:
+    return nested.node_table(table(spark, folder, "procedure_raw"))
+
+
+def p6_links_in_sections(spark: SparkSession, folder: str) -> DataFrame:
+    """Links at any depth below top-level sections, found by interval containment of two type tables."""
+    nodes = nested.node_table(table(spark, folder, "procedure_raw"))
+    tables = nested.type_tables(nodes)
+    return nested.contained(tables["sections"], tables["links"])
+
+
+QUERIES: dict[str, Query] = {"p6_found": p6_found, "p6_nodes": p6_nodes, "p6_links_in_sections": p6_links_in_sections}
 SQL: dict[str, str] = {}
