@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docloom.llm import leaks, skeleton, survivors
+from docloom.llm import components, leaks, mixing, skeleton, survivors
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,6 +15,19 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def p9_drawn(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mixture(table(spark, folder, "documents"), table(spark, folder, "mixture_targets"))[0]
+
+
+def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mixture(table(spark, folder, "documents"), table(spark, folder, "mixture_targets"))[1]
+
+
+def p9_shares_at_corpus_size(spark: SparkSession, folder: str) -> DataFrame:
+    """As much as the corpus holds: small sources run short, their siblings take over."""
+    return mixing.mixture(table(spark, folder, "documents"), table(spark, folder, "mixture_targets"), budget_share=1.0)[1]
+
+
 def p10_found(spark: SparkSession, folder: str) -> DataFrame:
     return skeleton.look_alike_pairs(table(spark, folder, "documents"))
 
@@ -31,6 +44,10 @@ def p1_records(spark: SparkSession, folder: str) -> DataFrame:
     return survivors.surviving_records(*(table(spark, folder, t) for t in ("procedure_documents", "duplicate_groups", "path_roots")))
 
 
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    return components.match_groups(table(spark, folder, "duplicate_pairs"), table(spark, folder, "llm_analyzed_duplicates"))
+
+
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return leaks.leaks(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
 
@@ -39,5 +56,5 @@ def p8_report(spark: SparkSession, folder: str) -> DataFrame:
     return leaks.leak_report(p8_found(spark, folder), table(spark, folder, "eval_items"))
 
 
-QUERIES: dict[str, Query] = {"p1_found": p1_found, "p1_records": p1_records, "p8_found": p8_found, "p8_report": p8_report, "p10_found": p10_found, "p10_groups": p10_groups}
+QUERIES: dict[str, Query] = {"p1_found": p1_found, "p1_records": p1_records, "p5_found": p5_found, "p8_found": p8_found, "p8_report": p8_report, "p9_drawn": p9_drawn, "p9_shares": p9_shares, "p9_shares_at_corpus_size": p9_shares_at_corpus_size, "p10_found": p10_found, "p10_groups": p10_groups}
 SQL: dict[str, str] = {}
