@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from docloom.llm import components, leaks, mixing, skeleton, survivors
+from docloom.llm import components, leaks, mixing, near, skeleton, survivors
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -44,6 +45,18 @@ def p1_records(spark: SparkSession, folder: str) -> DataFrame:
     return survivors.surviving_records(*(table(spark, folder, t) for t in ("procedure_documents", "duplicate_groups", "path_roots")))
 
 
+def _title_and_text():
+    return F.concat(F.coalesce("title", F.lit("")), F.lit(" "), F.coalesce("text", F.lit("")))
+
+
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    return near.pairs(near.near_duplicates(table(spark, folder, "procedure_documents"), "document_id", _title_and_text(), width=3, threshold=0.5, least_words=20))
+
+
+def p3_groups(spark: SparkSession, folder: str) -> DataFrame:
+    return near.groups(near.near_duplicates(table(spark, folder, "procedure_documents"), "document_id", _title_and_text()))
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return components.match_groups(table(spark, folder, "duplicate_pairs"), table(spark, folder, "llm_analyzed_duplicates"))
 
@@ -56,5 +69,5 @@ def p8_report(spark: SparkSession, folder: str) -> DataFrame:
     return leaks.leak_report(p8_found(spark, folder), table(spark, folder, "eval_items"))
 
 
-QUERIES: dict[str, Query] = {"p1_found": p1_found, "p1_records": p1_records, "p5_found": p5_found, "p8_found": p8_found, "p8_report": p8_report, "p9_drawn": p9_drawn, "p9_shares": p9_shares, "p9_shares_at_corpus_size": p9_shares_at_corpus_size, "p10_found": p10_found, "p10_groups": p10_groups}
+QUERIES: dict[str, Query] = {"p1_found": p1_found, "p1_records": p1_records, "p3_found": p3_found, "p3_groups": p3_groups, "p5_found": p5_found, "p8_found": p8_found, "p8_report": p8_report, "p9_drawn": p9_drawn, "p9_shares": p9_shares, "p9_shares_at_corpus_size": p9_shares_at_corpus_size, "p10_found": p10_found, "p10_groups": p10_groups}
 SQL: dict[str, str] = {}
