@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import components, leaks, mixing, near, skeleton, survivors
+from docloom.llm import components, leaks, mixing, near, proximity, skeleton, survivors, vectors
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -61,6 +61,20 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return components.match_groups(table(spark, folder, "duplicate_pairs"), table(spark, folder, "llm_analyzed_duplicates"))
 
 
+def _usable(spark: SparkSession, folder: str) -> DataFrame:
+    return vectors.usable(table(spark, folder, "aggregated_vectors"))
+
+
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    return proximity.close_pairs(proximity.nearest(_usable(spark, folder)))
+
+
+def p7_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    """A search: the rows whose id is divisible by 20 ask, against all rows."""
+    found = _usable(spark, folder)
+    return proximity.nearest(found, k=10, queries=found.where("vec_id % 20 = 0"))
+
+
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return leaks.leaks(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
 
@@ -69,5 +83,5 @@ def p8_report(spark: SparkSession, folder: str) -> DataFrame:
     return leaks.leak_report(p8_found(spark, folder), table(spark, folder, "eval_items"))
 
 
-QUERIES: dict[str, Query] = {"p1_found": p1_found, "p1_records": p1_records, "p3_found": p3_found, "p3_groups": p3_groups, "p5_found": p5_found, "p8_found": p8_found, "p8_report": p8_report, "p9_drawn": p9_drawn, "p9_shares": p9_shares, "p9_shares_at_corpus_size": p9_shares_at_corpus_size, "p10_found": p10_found, "p10_groups": p10_groups}
+QUERIES: dict[str, Query] = {"p1_found": p1_found, "p1_records": p1_records, "p3_found": p3_found, "p3_groups": p3_groups, "p5_found": p5_found, "p7_found": p7_found, "p7_neighbours": p7_neighbours, "p8_found": p8_found, "p8_report": p8_report, "p9_drawn": p9_drawn, "p9_shares": p9_shares, "p9_shares_at_corpus_size": p9_shares_at_corpus_size, "p10_found": p10_found, "p10_groups": p10_groups}
 SQL: dict[str, str] = {}
