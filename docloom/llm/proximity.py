@@ -228,12 +228,13 @@ def query_index(index: DataFrame, parts: DataFrame, queries: DataFrame, width: i
         graph = Graph(matrix(right["vec"].tolist(), width), np.frombuffer(b"".join(right["near"]), np.int32).reshape(len(right), DEGREE))
         names = right["rep"].to_numpy()
         mine = left["rep"].to_numpy()
-        nodes, sims = graph.search(matrix(left["vec"].tolist(), width), max(QUERY_BEAM, k + 8))
-        nodes, sims = nodes[:, : k + 1], sims[:, : k + 1]
+        asked = matrix(left["vec"].tolist(), width)
+        nodes = graph.search(asked, max(QUERY_BEAM, k + 8))[0][:, : k + 1]
         row, at = np.nonzero(nodes >= 0)
         other = names[nodes[row, at]]
         keep = other != mine[row]
-        return pd.DataFrame({"rep": mine[row][keep], "other": other[keep], "cosine": sims[row, at][keep].astype(np.float64)})
+        exact = [np.einsum("ij,ij->i", asked[row[a : a + 50_000]].astype(np.float64), graph.x[nodes[row[a : a + 50_000], at[a : a + 50_000]]].astype(np.float64)) for a in range(0, len(row), 50_000)]
+        return pd.DataFrame({"rep": mine[row][keep], "other": other[keep], "cosine": np.concatenate(exact or [np.empty(0)])[keep]})
 
     tasks = task_count(index.sparkSession)
     keys = ["shard", "part", "block"]
@@ -252,7 +253,7 @@ def nearest(vectors: DataFrame, k: int = 5, width: int = 64, queries: DataFrame
     marks, shards = landmarks(reps, width)
     index, parts = build_index(reps, width, marks, shards)
     asked = reps if queries is None else reps.join(members.join(queries.select("vec_id"), "vec_id", "left_semi").select("rep").distinct(), "rep", "left_semi")
-    found = query_index(index, parts, asked, width, marks, shards, k, probes).withColumn("cosine", F.round("cosine", 6)).distinct()
+    found = query_index(index, parts, asked, width, marks, shards, k, probes)
     best = Window.partitionBy("rep").orderBy(F.desc("cosine"), F.asc("other"))
     found = cut(found.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k).select("rep", "other", "cosine"))
     # Copies: of every class the k + 1 smallest ids can be among anybody's best.
