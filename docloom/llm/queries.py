@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import components, leaks, mixing, near, proximity, skeleton, survivors, vectors
+from docloom.llm import components, language, leaks, mixing, near, proximity, skeleton, survivors, vectors
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -45,6 +45,15 @@ def p1_records(spark: SparkSession, folder: str) -> DataFrame:
     return survivors.surviving_records(*(table(spark, folder, t) for t in ("procedure_documents", "duplicate_groups", "path_roots")))
 
 
+def p2_languages(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "procedure_documents")
+    return language.languages(docs, language.fit_on(docs))
+
+
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    return language.corrections(p2_languages(spark, folder))
+
+
 def _title_and_text():
     return F.concat(F.coalesce("title", F.lit("")), F.lit(" "), F.coalesce("text", F.lit("")))
 
@@ -83,5 +92,5 @@ def p8_report(spark: SparkSession, folder: str) -> DataFrame:
     return leaks.leak_report(p8_found(spark, folder), table(spark, folder, "eval_items"))
 
 
-QUERIES: dict[str, Query] = {"p1_found": p1_found, "p1_records": p1_records, "p3_found": p3_found, "p3_groups": p3_groups, "p5_found": p5_found, "p7_found": p7_found, "p7_neighbours": p7_neighbours, "p8_found": p8_found, "p8_report": p8_report, "p9_drawn": p9_drawn, "p9_shares": p9_shares, "p9_shares_at_corpus_size": p9_shares_at_corpus_size, "p10_found": p10_found, "p10_groups": p10_groups}
+QUERIES: dict[str, Query] = {"p1_found": p1_found, "p1_records": p1_records, "p2_found": p2_found, "p2_languages": p2_languages, "p3_found": p3_found, "p3_groups": p3_groups, "p5_found": p5_found, "p7_found": p7_found, "p7_neighbours": p7_neighbours, "p8_found": p8_found, "p8_report": p8_report, "p9_drawn": p9_drawn, "p9_shares": p9_shares, "p9_shares_at_corpus_size": p9_shares_at_corpus_size, "p10_found": p10_found, "p10_groups": p10_groups}
 SQL: dict[str, str] = {}
