@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import components, language, leaks, mixing, near, proximity, skeleton, survivors, vectors
+from docloom.llm import clusters, components, language, leaks, mixing, near, proximity, skeleton, survivors, vectors
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -74,6 +74,15 @@ def _usable(spark: SparkSession, folder: str) -> DataFrame:
     return vectors.usable(table(spark, folder, "aggregated_vectors"))
 
 
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    return clusters.similarity_clusters(_usable(spark, folder))
+
+
+def p4_described(spark: SparkSession, folder: str) -> DataFrame:
+    found = _usable(spark, folder)
+    return clusters.describe(found, clusters.similarity_clusters(found))
+
+
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     return proximity.close_pairs(proximity.nearest(_usable(spark, folder)))
 
@@ -92,5 +101,5 @@ def p8_report(spark: SparkSession, folder: str) -> DataFrame:
     return leaks.leak_report(p8_found(spark, folder), table(spark, folder, "eval_items"))
 
 
-QUERIES: dict[str, Query] = {"p1_found": p1_found, "p1_records": p1_records, "p2_found": p2_found, "p2_languages": p2_languages, "p3_found": p3_found, "p3_groups": p3_groups, "p5_found": p5_found, "p7_found": p7_found, "p7_neighbours": p7_neighbours, "p8_found": p8_found, "p8_report": p8_report, "p9_drawn": p9_drawn, "p9_shares": p9_shares, "p9_shares_at_corpus_size": p9_shares_at_corpus_size, "p10_found": p10_found, "p10_groups": p10_groups}
+QUERIES: dict[str, Query] = {"p1_found": p1_found, "p1_records": p1_records, "p2_found": p2_found, "p2_languages": p2_languages, "p3_found": p3_found, "p3_groups": p3_groups, "p4_found": p4_found, "p4_described": p4_described, "p5_found": p5_found, "p7_found": p7_found, "p7_neighbours": p7_neighbours, "p8_found": p8_found, "p8_report": p8_report, "p9_drawn": p9_drawn, "p9_shares": p9_shares, "p9_shares_at_corpus_size": p9_shares_at_corpus_size, "p10_found": p10_found, "p10_groups": p10_groups}
 SQL: dict[str, str] = {}
