@@ -8,9 +8,9 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType
 
 
-@pandas_udf("string")
 def _unescape(texts: pd.Series) -> pd.Series:
     return texts.map(html.unescape, na_action="ignore")
 
@@ -21,4 +21,4 @@ def unescape(text: Column) -> Column:
     Spark has no such function.  Only texts with an ampersand travel to Python; the others pass
     as null and come back from the JVM side unchanged.
     """
-    return F.coalesce(_unescape(F.when(F.contains(text, F.lit("&")), text)), text)
+    return F.coalesce(pandas_udf(_unescape, StringType())(F.when(F.contains(text, F.lit("&")), text)), text)
