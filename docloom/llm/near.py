@@ -12,18 +12,23 @@ Records with equal sets are one class throughout; copies never meet each other.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom.functions.entities import unescape
 from docloom.llm.components import components
-from docloom.session import cut
+from docloom.session import cut, task_count
 
-#: 64-bit words of the bitmap that each posting carries.
-MAP_WORDS = 8
+#: 64-bit words of the bitmap of each set.
+MAP_WORDS = 16
+#: Postings of a part (about), and pairs looked at side by side.
+PART_POSTINGS, PAIRS_AT_ONCE = 500_000, 2_000_000
 #: Orders asked after the rarest-first one.
 FURTHER_ORDERS = (2, 3)
 WORD = r"[\p{L}\p{N}]+"
@@ -48,6 +53,80 @@ def _sets(docs: DataFrame, id_column: str, text: Column, width: int, least_words
     return shingles.selectExpr("doc_id", "s", "size(s) as n", "xxhash64(s) as k1", "xxhash64(s, 7L) as k2")
 
 
+_PART = "part int, cls long, n int, j array<int>, t array<long>, " + ", ".join(f"m{k} long" for k in range(MAP_WORDS))
+
+
+def _spread(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
+    """Each record's prefix tokens with their places, a row per record and part."""
+    for batch in batches:
+        lists = batch.column(3)
+        sizes = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        t = lists.flatten().to_numpy(zero_copy_only=False)
+        if not len(t):
+            continue
+        row = np.repeat(np.arange(len(sizes)), sizes)
+        place = np.arange(len(t)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + batch.column(2).to_numpy(zero_copy_only=False)[row]
+        key = row * parts + (t % parts)
+        order = np.argsort(key, kind="stable")
+        at, start = np.unique(key[order], return_index=True)
+        ends = pa.array(np.append(start, len(t)).astype(np.int32))
+        taken = batch.take(pa.array(at // parts))
+        columns = [pa.array((at % parts).astype(np.int32)), taken.column(0), taken.column(1).cast(pa.int32()), pa.ListArray.from_arrays(ends, pa.array(place[order].astype(np.int32))), pa.ListArray.from_arrays(ends, pa.array(t[order])), *taken.columns[4:]]
+        yield pa.RecordBatch.from_arrays(columns, ["part", "cls", "n", "j", "t", *[f"m{k}" for k in range(MAP_WORDS)]])
+
+
+def _candidates(rows: pa.Table, threshold: float) -> pa.Table:
+    """Pairs (smaller record, larger record) of one part that share a prefix token and pass the bounds.
+
+    The smaller record's index prefix meets the larger one's probe prefix.  Under a token records are
+    sorted by size, so that only sizes within the threshold are met; then places, then bitmaps bound
+    the overlap.
+    """
+    rows = rows.combine_chunks()
+    share = threshold / (1 + threshold)
+    cls, n = rows["cls"].to_numpy(), rows["n"].to_numpy().astype(np.int64)
+    maps = np.stack([rows[f"m{k}"].to_numpy() for k in range(MAP_WORDS)], axis=1).view(np.uint64)
+    lists = rows["t"].chunk(0) if rows["t"].num_chunks else None
+    none = pa.table({"xc": pa.array([], pa.int64()), "yc": pa.array([], pa.int64())})
+    if lists is None or not len(lists):
+        return none
+    row = np.repeat(np.arange(len(cls), dtype=np.int32), lists.value_lengths().to_numpy())
+    t, j = lists.flatten().to_numpy(), rows["j"].chunk(0).flatten().to_numpy().astype(np.int64)
+    size = n[row]
+    order = np.lexsort((cls[row], size, t))
+    row, t, j, size = row[order], t[order], j[order], size[order]
+    left = (size - j).astype(np.int32)  # an upper bound of the overlap from here on
+    last = np.searchsorted(t, t, side="right")
+    # Of a token's records, those after x in the order of size, up to the largest that can match.
+    far = np.minimum(size / threshold + 1e-9, 2**31).astype(np.int64)
+    width = int(size.max()) + 2
+    rank = np.unique(t, return_inverse=True)[1].astype(np.int64)
+    upto = np.minimum(last, np.searchsorted(rank * width + size, rank * width + np.minimum(far, width - 1), side="right"))
+    index = j < size - np.ceil(2 * share * size - 1e-9).astype(np.int64) + 1
+    x = np.flatnonzero(index & (upto > np.arange(len(t)) + 1))
+    counts = upto[x] - x - 1
+    found: list[np.ndarray] = []
+    small = size.astype(np.int32)
+    ends = np.cumsum(counts)
+    at = 0
+    while at < len(x):
+        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PAIRS_AT_ONCE, side="right")))
+        some, many = x[at:stop], counts[at:stop]
+        one = np.repeat(some, many)
+        other = np.arange(len(one)) - np.repeat(np.cumsum(many) - many, many) + one + 1
+        keep = np.minimum(left[one], left[other]) >= share * (small[one] + small[other]) - 1e-9
+        a, b = row[one[keep]], row[other[keep]]
+        differ = np.zeros(len(a), np.int32)
+        for k in range(0, MAP_WORDS, 4):  # what differs too much in the first words need not be looked at further
+            differ += np.bitwise_count(maps[a, k : k + 4] ^ maps[b, k : k + 4]).sum(1, dtype=np.int32)
+            keep = differ <= (1 - 2 * share) * (n[a] + n[b]) + 1e-9
+            a, b, differ = a[keep], b[keep], differ[keep]
+        found.append(np.unique(a.astype(np.int64) * len(cls) + b))
+        at = stop
+    pair = np.unique(np.concatenate(found)) if found else np.empty(0, np.int64)
+    return pa.table({"xc": cls[pair // len(cls)], "yc": cls[pair % len(cls)]})
+
+
 def near_duplicates(docs: DataFrame, id_column: str, text: Column, width: int = 5, threshold: float = 0.8, least_words: int = 0) -> NearDuplicates:
     """Classes of equal records and the links between different classes at ``threshold`` or more.
 
@@ -66,26 +145,21 @@ def near_duplicates(docs: DataFrame, id_column: str, text: Column, width: int =
     tokens = reps.select("cls", F.explode("s").alias("t"))
     frequency = tokens.groupBy("t").agg(F.count("*").cast("int").alias("df")).where("df > 1")
     ranked = tokens.join(frequency, "t").groupBy("cls").agg(F.collect_list(F.struct("df", "t")).alias("f"))  # a record's own tokens
-    bits = [f"aggregate(filter(s, x -> pmod(x, {MAP_WORDS}) = {k}), 0L, (a, x) -> a | shiftleft(1L, cast(shiftright(x, 8) & 63 as int))) as m{k}" for k in range(MAP_WORDS)]
-    probe, index = f"n - ceil({threshold}D * n) + 1", f"n - ceil({2 * threshold / (1 + threshold)}D * n - 1e-9D) + 1"
+    bits = [f"aggregate(filter(s, x -> pmod(x, {MAP_WORDS}) = {k}), 0L, (a, x) -> a | shiftleft(1L, cast(shiftright(x, 12) & 63 as int))) as m{k}" for k in range(MAP_WORDS)]
+    probe = f"n - ceil({threshold}D * n - 1e-9D) + 1"
     order = {1: "array_sort(transform(f, x -> struct(x.df as r, xxhash64(x.t, 1L) as h, x.t as t)))"}
     order |= {k: f"array_sort(transform(f, x -> struct(cast(log2(x.df) as int) as r, xxhash64(x.t, {k}L) as h, x.t as t)))" for k in FURTHER_ORDERS}
-    first = lambda k: f"transform(slice({order[k]}, 1, cast(greatest(0, {probe} - (n - size(f))) as int)), x -> x.t) as p{k}"
+    first = lambda k: f"transform(slice({order[k]}, 1, cast(greatest(0, {probe} - (n - size(f))) as int)), x -> {'x.t' if k == 1 else 'hash(x.t)'}) as p{k}"
     prefixes = reps.join(ranked, "cls").selectExpr("cls", "n", "n - size(f) as alone", *bits, *map(first, order))
     prefixes = prefixes.persist(StorageLevel.DISK_ONLY)
 
-    maps = [f"m{k}" for k in range(MAP_WORDS)]
-    postings = prefixes.selectExpr("cls", "n", "alone", *maps, "posexplode(p1) as (j, t)").selectExpr("cls", "n", "j + alone as j", "t", *maps)
-    x = postings.where(f"j < {index}").selectExpr("t", "cls as xc", "n as xn", "j as xj", *[f"{m} as x{m}" for m in maps])
-    y = postings.selectExpr("t", "cls as yc", "n as yn", "j as yj", *[f"{m} as y{m}" for m in maps])
-    share = threshold / (1 + threshold)
-    differ = " + ".join(f"bit_count(x{m} ^ y{m})" for m in maps)
-    found = x.join(y, "t").where(
-        f"(xn < yn or xn = yn and xc < yc) and xn >= {threshold}D * yn - 1e-9D"
-        f" and least(xn - xj, yn - yj) >= {share}D * (xn + yn) - 1e-9D"
-        f" and {differ} <= {1 - 2 * share}D * (xn + yn) + 1e-9D"
-    )
-    candidates = found.select("xc", "yc").distinct()
+    # Postings go to parts by token.  A record sends a part all its tokens there in one row, so that its
+    # bitmap travels once per part and not once per token.
+    total = prefixes.agg(F.coalesce(F.sum(F.size("p1")), F.lit(0))).first()[0]
+    parts = max(1, -(-total // PART_POSTINGS))
+    sent = prefixes.select("cls", "n", "alone", "p1", *[f"m{k}" for k in range(MAP_WORDS)]).mapInArrow(lambda batches: _spread(batches, parts), _PART)
+    found = sent.repartition(max(1, min(parts, task_count(docs.sparkSession))), "part").groupBy("part").applyInArrow(lambda rows: _candidates(rows, threshold), "xc long, yc long")
+    candidates = found.distinct()
 
     # The filters of the further orders, intersected, before any set is fetched.
     mine = lambda end: prefixes.select(F.col("cls").alias(end), *[F.col(f"p{k}").alias(f"{end}{k}") for k in FURTHER_ORDERS])
@@ -94,6 +168,7 @@ def near_duplicates(docs: DataFrame, id_column: str, text: Column, width: int =
         both = both.where(F.arrays_overlap(f"xc{k}", f"yc{k}"))
     both = both.select("xc", "yc")
 
+    share = threshold / (1 + threshold)
     whole = lambda end, s: reps.select(F.col("cls").alias(end), F.col("s").alias(s))
     checked = both.join(whole("xc", "xs"), "xc").join(whole("yc", "ys"), "yc").selectExpr("xc", "yc", "size(array_intersect(xs, ys)) as o", "size(xs) + size(ys) as total")
     links = checked.where(f"o >= {share}D * total - 1e-9D").selectExpr("least(xc, yc) as cls_1", "greatest(xc, yc) as cls_2", "o / (total - o) as similarity")
