@@ -88,10 +88,14 @@ def compact(text: Column | str) -> Column:
     return squeeze(F.coalesce(_col(text).cast("string"), F.lit("")))
 
 
+def _rstrip(text: Column) -> Column:
+    return F.regexp_replace(text, r"(?U)\s+$", "")
+
+
 def preview(text: Column | str, chars: int = PREVIEW_CHARS) -> Column:
     """At most ``chars`` characters of the compact text; a cut one ends in three dots."""
     t = compact(text)
-    return F.when(F.length(t) <= chars, t).otherwise(F.concat(F.rtrim(F.left(t, F.lit(chars - 1))), F.lit("...")))
+    return F.when(F.length(t) <= chars, t).otherwise(F.concat(_rstrip(F.left(t, F.lit(chars - 1))), F.lit("...")))
 
 
 def html_escape(text: Column, quotes: bool = True) -> Column:
@@ -113,7 +117,7 @@ def clipped(text: Column | str, chars: int = DIFF_CHARS) -> Column:
     """struct(text, truncated): at most ``chars`` characters, and whether any were cut."""
     t = F.coalesce(_col(text).cast("string"), F.lit(""))
     long = F.length(t) > chars
-    return F.struct(F.when(long, F.rtrim(F.left(t, F.lit(chars)))).otherwise(t).alias("text"), long.alias("truncated"))
+    return F.struct(F.when(long, _rstrip(F.left(t, F.lit(chars)))).otherwise(t).alias("text"), long.alias("truncated"))
 
 
 def strip(text: Column) -> Column:

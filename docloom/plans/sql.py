@@ -144,9 +144,9 @@ cast(coalesce(sum(cast(cross_encoder_passed AS INTEGER)), 0) AS BIGINT) AS cross
 SELECT 'pair-' || row_number() OVER (ORDER BY weight DESC, avg_weight DESC, relationship, source_node, target_node) AS id, st || ' ↔ ' || tt AS label, relationship, round(weight, 6) AS weight, pair_count AS "pairCount", coalesce(source_id, '') AS "sourceId", coalesce(target_id, '') AS "targetId", st AS "sourceTitle", tt AS "targetTitle", false AS "sourceTruncated" FROM r""",
     "node_level": "SELECT CASE WHEN count(DISTINCT t) >= 2 THEN 'document_type' ELSE 'title' END AS level, 'cross_encoder_similarity_value' AS weight FROM (SELECT item1_type AS t FROM llm_analyzed_duplicates UNION ALL SELECT item2_type FROM llm_analyzed_duplicates)",
     "sentences": f"WITH {_SENTENCES.format('coalesce(text, {0})'.format(_q('')), 'documents')} SELECT * FROM sent",
-    "text_previews": f"""WITH c AS (SELECT doc_id, coalesce(text, '') AS raw, {_squeeze("coalesce(text, '')")} AS t FROM documents), p AS (SELECT *, CASE WHEN length(t) <= 900 THEN t ELSE rtrim(left(t, 899)) || '...' END AS preview FROM c)
+    "text_previews": f"""WITH c AS (SELECT doc_id, coalesce(text, '') AS raw, {_squeeze("coalesce(text, '')")} AS t FROM documents), p AS (SELECT *, CASE WHEN length(t) <= 900 THEN t ELSE regexp_replace(left(t, 899), {_q(S + '+$')}, '') || '...' END AS preview FROM c)
 SELECT doc_id, preview, CASE WHEN preview = '' THEN 'No text available' ELSE array_to_string(list_transform(range(0, length(preview), 96), lambda i: replace(replace(replace(replace(replace(substring(preview, i + 1, 96), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#x27;')), '<br>') END AS html,
-CASE WHEN length(raw) > 500 THEN rtrim(left(raw, 500)) ELSE raw END AS clipped, length(raw) > 500 AS truncated FROM p""",
+CASE WHEN length(raw) > 500 THEN regexp_replace(left(raw, 500), {_q(S + '+$')}, '') ELSE raw END AS clipped, length(raw) > 500 AS truncated FROM p""",
     "relationship_names": f"WITH r AS (SELECT {_NAME} AS relationship, starts_with(upper({_LABEL}), 'SKIPPED') AS skipped FROM llm_analyzed_duplicates) SELECT relationship, skipped, count(*) AS n, cast(min({_RANK}) AS INTEGER) AS rank FROM r GROUP BY 1, 2",
     "sigmoids": "SELECT pair_id, round(max(1 / (1 + exp(-similarity))), 6) AS sigmoid FROM duplicate_pairs WHERE similarity IS NOT NULL AND NOT isnan(similarity) GROUP BY 1",
     "props_json": "SELECT event_type, cast(sum(cast(json_extract_string(props, '$.k') AS BIGINT)) AS BIGINT) AS k, count(*) AS n FROM events GROUP BY 1",
