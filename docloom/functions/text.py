@@ -108,8 +108,7 @@ def html_escape(text: Column, quotes: bool = True) -> Column:
 def html_lines(text: Column | str, width: int = LINE_CHARS, chars: int = PREVIEW_CHARS) -> Column:
     """The preview in lines of ``width`` characters, escaped, joined by ``<br>``."""
     t = preview(text, chars)
-    starts = F.sequence(F.lit(0), F.floor((F.greatest(F.length(t), F.lit(1)) - 1) / width))
-    lines = F.transform(starts, lambda i: html_escape(F.substring(t, i.cast("int") * width + 1, F.lit(width))))
+    lines = F.transform(F.regexp_extract_all(t, F.lit(rf"(?s).{{1,{width}}}"), 0), lambda line: html_escape(line))  # the text is cut once, not per line
     return F.when(t == "", "No text available").otherwise(F.array_join(lines, "<br>"))
 
 
