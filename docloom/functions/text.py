@@ -26,7 +26,7 @@ def squeeze(text: Column) -> Column:
 
 def clean_text(text: Column | str) -> Column:
     """Entities resolved, ``+`` read as a blank where it stands for one, whitespace squeezed; null becomes ''."""
-    t = F.replace(F.coalesce(unescape(_col(text)), F.lit("")), F.lit(" "), F.lit(" "))
+    t = F.replace(F.coalesce(unescape(_col(text)), F.lit("")), F.lit("\u00a0"), F.lit(" "))
     count = lambda c: F.length(t) - F.length(F.replace(t, F.lit(c), F.lit("")))
     encoded = count("+") > F.greatest(F.lit(2), F.floor(count(" ") / 2))
     return squeeze(F.when(encoded, F.replace(t, F.lit("+"), F.lit(" "))).otherwise(t))
@@ -34,7 +34,7 @@ def clean_text(text: Column | str) -> Column:
 
 def clean_lines(text: Column | str) -> Column:
     """As ``clean_text`` for text whose line breaks matter: blanks and tabs squeezed, three breaks or more become two."""
-    t = F.replace(F.coalesce(unescape(_col(text)), F.lit("")), F.lit(" "), F.lit(" "))
+    t = F.replace(F.coalesce(unescape(_col(text)), F.lit("")), F.lit("\u00a0"), F.lit(" "))
     t = F.regexp_replace(F.regexp_replace(t, r"[ \t]+", " "), r"\n{3,}", "\n\n")
     return F.regexp_replace(t, r"(?U)^\s+|\s+$", "")
 

@@ -78,7 +78,7 @@ def whole_object(body: str | None) -> dict | None:
     for _ in range(2):
         if not isinstance(value, str):
             break
-        text = value.strip(" \t\r\n").lstrip("﻿")
+        text = value.strip(" \t\r\n").lstrip("\ufeff")
         try:
             value = json.loads(text, parse_constant=_refuse)
         except RecursionError:

@@ -54,9 +54,9 @@ def _docs(spark, folder):
     return table(spark, folder, "documents").select("doc_id", F.coalesce("lang", F.lit("")).alias("lang"), "text")
 
 
-def _tfidf_pairs(spark, folder):
+def _tfidf_pairs(spark, folder, top=None):
     docs = _docs(spark, folder)
-    return docs, similarity.sparse_pairs(vectorize.tfidf(docs, "doc_id", "text", ("lang",)), "doc_id", 0.45, ("lang",))
+    return docs, similarity.sparse_pairs(vectorize.tfidf(docs, "doc_id", "text", ("lang",)), "doc_id", 0.45, ("lang",), top=top)
 
 
 @query
@@ -66,7 +66,7 @@ def dup_pairs_tfidf(spark, folder):
 
 @query
 def dup_pairs_labelled(spark, folder):
-    docs, found = _tfidf_pairs(spark, folder)
+    docs, found = _tfidf_pairs(spark, folder, 500)
     pairs = similarity.candidate_pairs(found, docs, "doc_id", {"text": "text"}, 500, "lang")
     h = X.heuristic_relationship(F.col("item1_text"), F.col("item2_text"), F.col("similarity"))
     return pairs.select("cluster_label", "same_cluster", "item1_id", "item2_id", "similarity", h["type"].alias("relationship"), h["analysis"].alias("analysis"))
@@ -174,7 +174,7 @@ def unordered_pairs(spark, folder):
 @query
 def label_status(spark, folder):
     """Labels of TF-IDF pairs without a model: heuristics, and why no model was asked."""
-    docs, found = _tfidf_pairs(spark, folder)
+    docs, found = _tfidf_pairs(spark, folder, 200)
     pairs = similarity.candidate_pairs(found, docs, "doc_id", {"text": "text"}, 200)
     return relate.label(pairs).select("item1_id", "item2_id", "heuristic_relationship_type", "llm_relationship_type", "llm_analysis")
 
@@ -363,7 +363,7 @@ def node_level(spark, folder):
 
 @query
 def token_diffs(spark, folder):
-    docs, found = _tfidf_pairs(spark, folder)
+    docs, found = _tfidf_pairs(spark, folder, 50)
     pairs = similarity.candidate_pairs(found, docs, "doc_id", {"text": "text"}, 50)
     d = pairs.withColumn("d", diff.diff_column(F.col("item1_text"), F.col("item2_text")))
     ops = lambda side, op: F.size(F.filter(f"d.{side}", lambda t: t["op"] == op))

@@ -28,7 +28,7 @@ def clean(value: Any) -> str:
     """``text.clean_text`` for a single value."""
     if value is None:
         return ""
-    t = html.unescape(str(value)).replace(" ", " ")
+    t = html.unescape(str(value)).replace("\u00a0", " ")
     if t.count("+") > max(2, t.count(" ") // 2):
         t = t.replace("+", " ")
     return " ".join(t.split())
