@@ -24,7 +24,7 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Bounds of the plan kept on the driver: targets rows, and (source, language) leaves.
 MOST_LEAVES = 1_000_000
 #: A leaf's order is cut into blocks of about so many texts; running totals are kept per block.
-BLOCKS = 256
+BLOCK_TEXTS = 20_000
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
 
 
@@ -137,23 +137,23 @@ def mixture(docs: DataFrame, targets: DataFrame, budgets: dict[str, float] | Non
     leaves_by_mix: dict = defaultdict(list)
     for r in sorted(found, key=lambda r: (r.mix_name, r.source, r.lang or "")):
         part = (r.tokens or 0) / per_source[r.mix_name, r.source] if per_source[r.mix_name, r.source] else 0.0
-        leaves_by_mix[r.mix_name].append({"mix_name": r.mix_name, "domain": (domains or {}).get(r.source, ""), "lang": r.lang or "", "source": r.source, "share": r.share, "weight": r.share * part, "room": float((r.tokens or 0) * r.repeats), "tokens": r.tokens or 0, "repeats": r.repeats})
+        leaves_by_mix[r.mix_name].append({"mix_name": r.mix_name, "domain": (domains or {}).get(r.source, ""), "lang": r.lang or "", "source": r.source, "share": r.share, "weight": r.share * part, "room": float((r.tokens or 0) * r.repeats), "tokens": r.tokens or 0, "repeats": r.repeats, "bits": max(1, ((r.documents or 0) // BLOCK_TEXTS).bit_length())})
     planned = [leaf for mix, leaves in sorted(leaves_by_mix.items()) for leaf in plan(leaves, (budgets or {}).get(mix, whole))[1]]
-    fields = ["mix_name", "source", "lang", "share", "tokens", "repeats", "budget"]
-    kind = "mix_name string, source string, lang string, share double, tokens long, repeats int, budget double"
+    fields = ["mix_name", "source", "lang", "share", "tokens", "repeats", "bits", "budget"]
+    kind = "mix_name string, source string, lang string, share double, tokens long, repeats int, bits int, budget double"
     table = spark.createDataFrame([tuple(leaf[f] for f in fields) for leaf in planned], kind)
 
     # Every text is drawn floor(budget / leaf tokens) times; the last epoch is drawn in part: the prefix,
     # in the epoch's seeded order, that comes nearest to the rest.  Running totals come from
     # block sums, so that a leaf of a third of all rows is not one task's sort.
-    wanted = table.where("budget > 0").selectExpr("mix_name", "source", "lang", "repeats", "budget", "cast(floor(budget / tokens) as int) as whole", "budget - floor(budget / tokens) * tokens as rest")
+    wanted = table.where("budget > 0").selectExpr("mix_name", "source", "lang", "repeats", "bits", "budget", "cast(floor(budget / tokens) as int) as whole", "budget - floor(budget / tokens) * tokens as rest")
     wanted = F.broadcast(wanted)  # at most MOST_LEAVES rows, checked above
     epochs = sized.join(wanted, ["source", "lang"]).withColumn("place", F.xxhash64(F.lit(seed), "mix_name", "whole", "doc_id"))
-    epochs = epochs.withColumn("block", F.shiftrightunsigned("place", 64 - BLOCKS.bit_length() + 1).cast("int"))
+    epochs = epochs.withColumn("block", F.expr("shiftrightunsigned(place, 64 - bits)"))  # the first bits of the order, by the leaf's size
     sums = epochs.groupBy("mix_name", "source", "lang", "block").agg(F.sum("tokens").alias("in_block"))
     over = Window.partitionBy("mix_name", "source", "lang").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     before = sums.withColumn("before", F.coalesce(F.sum("in_block").over(over), F.lit(0))).select("mix_name", "source", "lang", "block", "before")
-    order = Window.partitionBy("mix_name", "source", "lang", "block").orderBy(F.shiftrightunsigned("place", 1), "place", "doc_id")
+    order = Window.partitionBy("mix_name", "source", "lang", "block").orderBy("place", "doc_id")
     drawn = epochs.join(before, ["mix_name", "source", "lang", "block"]).withColumn("upto", F.col("before") + F.sum("tokens").over(order))
     drawn = drawn.withColumn("times", F.least(F.col("repeats"), F.col("whole") + (F.col("upto") - F.col("tokens") / 2 <= F.col("rest")).cast("int"))).where("times > 0").select("mix_name", "doc_id", "source", "lang", "tokens", "times")
     drawn = cut(drawn)
