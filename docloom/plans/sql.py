@@ -7,6 +7,7 @@ from math import pi
 from docloom.functions.abbreviations import FORM_FIRST
 from docloom.functions.vectorize import STOP_WORDS, TOKEN
 from docloom.operators.events import CODE, TRIGGER
+from docloom.operators.nested import SECTION_KEYS
 from docloom.plans import fixtures
 
 #: Whitespace of any kind, spelled out.
@@ -96,7 +97,19 @@ _SENTENCES = rf"""split AS (SELECT doc_id, list_filter(list_transform(string_spl
 sent AS (SELECT doc_id, cast(generate_subscripts(l, 1) - 1 AS INTEGER) AS sentence_index, unnest(l) AS sentence FROM split)"""
 _STOP = "[" + ", ".join(map(_q, STOP_WORDS)) + "]"
 
+_BOM = "chr(65279)"
+_SECTION_KEYS = "|".join(SECTION_KEYS)
+_NODES = rf"""WITH b AS (SELECT raw_id, ltrim(trim(body, chr(32) || chr(9) || chr(10) || chr(13)), {_BOM}) AS t FROM procedure_raw WHERE raw_id IS NOT NULL AND body IS NOT NULL),
+w AS (SELECT raw_id, CASE WHEN json_valid(t) THEN CASE WHEN json_type(t) = 'VARCHAR' THEN ltrim(json_extract_string(t, '$'), {_BOM}) ELSE t END END AS j FROM b),
+o AS MATERIALIZED (SELECT raw_id, j FROM w WHERE CASE WHEN json_valid(j) THEN json_type(j) = 'OBJECT' ELSE false END),
+n AS (SELECT raw_id, type, regexp_replace(regexp_replace(regexp_replace(fullkey, '^\$\.', ''), '\.("[^"]*"|[^."\[\]]+)', '/\1', 'g'), '\[(\d+)\]', '/\1', 'g') AS a FROM o, json_tree(o.j)),
+k AS (SELECT raw_id, type, replace(a, '"', '') AS node_address FROM n)
+SELECT raw_id, node_address, CASE WHEN node_address LIKE 'metadata/%' THEN 'metadata' WHEN node_address = 'metadata' THEN '' ELSE regexp_replace(node_address, '(^|/)[a-z]+(/\d+)*$', '') END AS parent_address FROM k
+WHERE node_address = 'metadata' AND type = 'OBJECT' OR regexp_matches(node_address, '^metadata/[^/]+$') AND type = 'OBJECT'
+OR regexp_matches(node_address, '^sections(/\d+|/({_SECTION_KEYS}))*$') AND (type = 'OBJECT' OR type = 'VARCHAR' AND regexp_matches(node_address, '/\d+$'))"""
+
 SQL: dict[str, str] = {
+    "p6_found": _NODES,
     "dup_pairs_tfidf": f"WITH {_PAIRS} SELECT * FROM p",
     "dup_pairs_labelled": f"WITH {_BEST % 500} SELECT lang AS cluster_label, true AS same_cluster, i AS item1_id, j AS item2_id, similarity, {_HEURISTIC} AS relationship, {_REASON} AS analysis FROM best",
     "label_status": f"WITH {_BEST % 200} SELECT i AS item1_id, j AS item2_id, {_HEURISTIC} AS heuristic_relationship_type, 'SKIPPED_NO_API_KEY' AS llm_relationship_type, '' AS llm_analysis FROM best",
