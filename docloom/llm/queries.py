@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.llm import clusters, components, language, leaks, mixing, near, proximity, skeleton, survivors, vectors
+from docloom.llm.sql import SQL
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -102,17 +103,4 @@ def p8_report(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {"p1_found": p1_found, "p1_records": p1_records, "p2_found": p2_found, "p2_languages": p2_languages, "p3_found": p3_found, "p3_groups": p3_groups, "p4_found": p4_found, "p4_described": p4_described, "p5_found": p5_found, "p7_found": p7_found, "p7_neighbours": p7_neighbours, "p8_found": p8_found, "p8_report": p8_report, "p9_drawn": p9_drawn, "p9_shares": p9_shares, "p9_shares_at_corpus_size": p9_shares_at_corpus_size, "p10_found": p10_found, "p10_groups": p10_groups}
-_USABLE = """raw AS (SELECT vec_id, CASE WHEN embedding IS NOT NULL THEN embedding::DOUBLE[] ELSE try_cast(embedding_str AS DOUBLE[]) END AS v FROM aggregated_vectors),
-ok AS (SELECT vec_id, min(v) AS v FROM raw WHERE vec_id IS NOT NULL AND len(v) = 64 AND list_count(v) = 64 AND isfinite(list_inner_product(v, v)) AND list_inner_product(v, v) > 0 GROUP BY 1)"""
-_CLOSE = f"{_USABLE}, sim AS (SELECT a.vec_id AS a, b.vec_id AS b, list_cosine_similarity(a.v, b.v) AS s FROM ok a JOIN ok b ON a.vec_id <> b.vec_id)"
-_LABEL = "regexp_replace(regexp_replace(lower(llm_relationship_type), '^\\s+|\\s+$', '', 'g'), '[\\s_-]+', '_', 'g')"
-
-SQL: dict[str, str] = {
-    "p4_found": f"""WITH RECURSIVE {_CLOSE}, near AS (SELECT a, b FROM sim WHERE s >= 0.8), reach(id, root) AS (SELECT vec_id, vec_id FROM ok UNION SELECT b, root FROM reach JOIN near ON a = id),
-g AS (SELECT id AS vec_id, min(root) AS cluster_key FROM reach GROUP BY 1) SELECT vec_id, cluster_key FROM g QUALIFY count(*) OVER (PARTITION BY cluster_key) >= 15""",
-    "p5_found": f"""WITH RECURSIVE p AS (SELECT DISTINCT least(item1_id, item2_id) AS a, greatest(item1_id, item2_id) AS b FROM duplicate_pairs WHERE item1_id IS NOT NULL AND item2_id IS NOT NULL AND item1_id <> item2_id),
-l AS (SELECT DISTINCT least(item1_id, item2_id) AS a, greatest(item1_id, item2_id) AS b FROM llm_analyzed_duplicates WHERE item1_id IS NOT NULL AND item2_id IS NOT NULL AND {_LABEL} IN ('semantically_identical', 'one_doc_included')),
-m AS (SELECT a, b FROM p JOIN l USING (a, b)), e AS (SELECT a, b FROM m UNION SELECT b, a FROM m), reach(id, root) AS (SELECT a, a FROM e UNION SELECT b, root FROM reach JOIN e ON a = id)
-SELECT id AS item_id, min(root) AS group_id FROM reach GROUP BY 1""",
-    "p7_found": f"""WITH {_CLOSE}, top AS (SELECT a, b, s FROM sim QUALIFY row_number() OVER (PARTITION BY a ORDER BY s DESC, b) <= 5) SELECT DISTINCT least(a, b) AS vec_id_1, greatest(a, b) AS vec_id_2 FROM top WHERE s >= 0.8""",
-}
+__all__ = ["QUERIES", "SQL"]
