@@ -53,11 +53,16 @@ def _sets(docs: DataFrame, id_column: str, text: Column, width: int, least_words
     return shingles.selectExpr("doc_id", "s", "size(s) as n", "xxhash64(s) as k1", "xxhash64(s, 7L) as k2")
 
 
-_PART = "part int, cls long, n int, j array<int>, t array<long>, " + ", ".join(f"m{k} long" for k in range(MAP_WORDS))
+_PART = "part int, one int, other int, second boolean, cls long, n int, j array<int>, t array<long>, " + ", ".join(f"m{k} long" for k in range(MAP_WORDS))
 
 
-def _spread(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
-    """Each record's prefix tokens with their places, a row per record and part."""
+def _spread(batches: Iterator[pa.RecordBatch], parts: int, hot: dict[int, int]) -> Iterator[pa.RecordBatch]:
+    """Each record's prefix tokens with their places, a row per record and part.
+
+    A part in ``hot`` is cut into that many blocks of records, and every two blocks meet in a group of
+    their own (``one`` <= ``other``); ``second`` marks the records of the other block.
+    """
+    names = ["part", "one", "other", "second", "cls", "n", "j", "t", *[f"m{k}" for k in range(MAP_WORDS)]]
     for batch in batches:
         lists = batch.column(3)
         sizes = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
@@ -71,8 +76,17 @@ def _spread(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.Record
         at, start = np.unique(key[order], return_index=True)
         ends = pa.array(np.append(start, len(t)).astype(np.int32))
         taken = batch.take(pa.array(at // parts))
-        columns = [pa.array((at % parts).astype(np.int32)), taken.column(0), taken.column(1).cast(pa.int32()), pa.ListArray.from_arrays(ends, pa.array(place[order].astype(np.int32))), pa.ListArray.from_arrays(ends, pa.array(t[order])), *taken.columns[4:]]
-        yield pa.RecordBatch.from_arrays(columns, ["part", "cls", "n", "j", "t", *[f"m{k}" for k in range(MAP_WORDS)]])
+        part = (at % parts).astype(np.int32)
+        blocks = np.array([hot.get(p, 1) for p in part.tolist()]) if hot else np.ones(len(part), np.int64)
+        mine = ((taken.column(0).to_numpy(zero_copy_only=False).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % blocks
+        again = np.repeat(np.arange(len(part)), blocks)
+        met = np.arange(len(again)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+        mine = mine[again]
+        rows = pa.RecordBatch.from_arrays([taken.column(0), taken.column(1).cast(pa.int32()), pa.ListArray.from_arrays(ends, pa.array(place[order].astype(np.int32))), pa.ListArray.from_arrays(ends, pa.array(t[order])), *taken.columns[4:]], names[4:])
+        if len(again) > len(part):
+            rows = rows.take(pa.array(again))
+        columns = [pa.array(part[again]), pa.array(np.minimum(mine, met).astype(np.int32)), pa.array(np.maximum(mine, met).astype(np.int32)), pa.array(mine > met), *rows.columns]
+        yield pa.RecordBatch.from_arrays(columns, names)
 
 
 def _candidates(rows: pa.Table, threshold: float) -> pa.Table:
@@ -95,6 +109,8 @@ def _candidates(rows: pa.Table, threshold: float) -> pa.Table:
     size = n[row]
     order = np.lexsort((cls[row], size, t))
     row, t, j, size = row[order], t[order], j[order], size[order]
+    second = rows["second"].to_numpy()[row]
+    apart = rows["one"][0].as_py() != rows["other"][0].as_py()  # two blocks: only pairs across them
     left = (size - j).astype(np.int32)  # an upper bound of the overlap from here on
     last = np.searchsorted(t, t, side="right")
     # Of a token's records, those after x in the order of size, up to the largest that can match.
@@ -115,6 +131,8 @@ def _candidates(rows: pa.Table, threshold: float) -> pa.Table:
         one = np.repeat(some, many)
         other = np.arange(len(one)) - np.repeat(np.cumsum(many) - many, many) + one + 1
         keep = np.minimum(left[one], left[other]) >= share * (small[one] + small[other]) - 1e-9
+        if apart:
+            keep &= second[one] != second[other]
         a, b = row[one[keep]], row[other[keep]]
         differ = np.zeros(len(a), np.int32)
         for k in range(0, MAP_WORDS, 4):  # what differs too much in the first words need not be looked at further
@@ -157,8 +175,12 @@ def near_duplicates(docs: DataFrame, id_column: str, text: Column, width: int =
     # bitmap travels once per part and not once per token.
     total = prefixes.agg(F.coalesce(F.sum(F.size("p1")), F.lit(0))).first()[0]
     parts = max(1, -(-total // PART_POSTINGS))
-    sent = prefixes.select("cls", "n", "alone", "p1", *[f"m{k}" for k in range(MAP_WORDS)]).mapInArrow(lambda batches: _spread(batches, parts), _PART)
-    found = sent.repartition(max(1, min(parts, task_count(docs.sparkSession))), "part").groupBy("part").applyInArrow(lambda rows: _candidates(rows, threshold), "xc long, yc long")
+    # A part that a frequent token makes too large is cut into blocks of records.
+    load = prefixes.select(F.explode("p1").alias("t")).groupBy(F.pmod("t", F.lit(parts)).alias("part")).agg(F.count("*").alias("c")).where(F.col("c") > 4 * PART_POSTINGS)
+    hot = {r.part: -(-r.c // (2 * PART_POSTINGS)) for r in load.collect()}  # fewer than total / (4 * PART_POSTINGS) numbers
+    sent = prefixes.select("cls", "n", "alone", "p1", *[f"m{k}" for k in range(MAP_WORDS)]).mapInArrow(lambda batches: _spread(batches, parts, hot), _PART)
+    keys = ["part", "one", "other"]
+    found = sent.repartition(max(1, min(parts + sum(b * b for b in hot.values()), task_count(docs.sparkSession))), *keys).groupBy(*keys).applyInArrow(lambda rows: _candidates(rows, threshold), "xc long, yc long")
     candidates = found.distinct()
 
     # The filters of the further orders, intersected, before any set is fetched.

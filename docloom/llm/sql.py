@@ -9,6 +9,7 @@ from __future__ import annotations
 from html.entities import codepoint2name
 from unicodedata import normalize
 
+from docloom.functions.moments import MONTHS
 from docloom.llm.skeleton import CYRILLIC, GREEK, HYPHENS
 
 
@@ -42,6 +43,31 @@ def _entities(text: str) -> str:
     return out
 
 
+def _moment() -> str:
+    """Microseconds since 1970 of the text ``t``, null where it denotes no moment."""
+    part = lambda pattern, k: f"regexp_extract(t, {_q(pattern)}, {k})"
+    names = "MAP {" + ", ".join(f"'{name}': '{k:02d}'" for k, every in MONTHS.items() for name in every.split()) + "}"
+    month = lambda name: f"element_at({names}, lower({name}))[1]"
+    two = lambda day: f"lpad({day}, 2, '0')"
+    numbers = r"^(\d{4})[-/](\d{2})[-/](\d{2})(?:[T +](\d{2}:\d{2}:\d{2}))?(Z|[+-]\d{2}:\d{2})?$"
+    dots, day_name, name_day = r"^(\d{2})\.(\d{2})\.(\d{4})$", r"^(\d{1,2})[ -]([\p{L}]+)[ -](\d{4})$", r"^([\p{L}]+) (\d{1,2}), (\d{4})$"
+    clock = f"(CASE WHEN {part(numbers, 4)} = '' THEN '00:00:00' ELSE {part(numbers, 4)} END) || (CASE WHEN {part(numbers, 5)} IN ('', 'Z') THEN '+00' ELSE {part(numbers, 5)} END)"
+    midnight = "'00:00:00+00'"
+
+    def when(pattern: str, y: str, m: str, d: str, rest: str) -> str:
+        return f"WHEN regexp_matches(t, {_q(pattern)}) THEN epoch_us(try_cast({y} || '-' || {m} || '-' || {d} || ' ' || {rest} AS TIMESTAMPTZ))"
+
+    return " ".join([
+        r"CASE WHEN regexp_matches(t, '^\d{8}$') THEN epoch_us(try_cast(t[1:4] || '-' || t[5:6] || '-' || t[7:8] || ' 00:00:00+00' AS TIMESTAMPTZ))",
+        r"WHEN regexp_matches(t, '^\d{10}$') THEN cast(t AS BIGINT) * 1000000 WHEN regexp_matches(t, '^\d{13}$') THEN cast(t AS BIGINT) * 1000",
+        when(numbers, part(numbers, 1), part(numbers, 2), part(numbers, 3), clock),
+        when(dots, part(dots, 3), part(dots, 2), part(dots, 1), midnight),
+        when(day_name, part(day_name, 3), month(part(day_name, 2)), two(part(day_name, 1)), midnight),
+        when(name_day, part(name_day, 3), month(part(name_day, 1)), two(part(name_day, 2)), midnight),
+        "END",
+    ])
+
+
 _WORDS = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}]+')"
 _USABLE = """raw AS (SELECT vec_id, CASE WHEN embedding IS NOT NULL THEN embedding::DOUBLE[] ELSE try_cast(embedding_str AS DOUBLE[]) END AS v FROM aggregated_vectors),
 ok AS (SELECT vec_id, min(v) AS v FROM raw WHERE vec_id IS NOT NULL AND len(v) = 64 AND list_count(v) = 64 AND isfinite(list_inner_product(v, v)) AND list_inner_product(v, v) > 0 GROUP BY 1)"""
@@ -49,7 +75,15 @@ _CLOSE = f"{_USABLE}, sim AS (SELECT a.vec_id AS a, b.vec_id AS b, list_cosine_s
 _LABEL = r"regexp_replace(regexp_replace(lower(llm_relationship_type), '^\s+|\s+$', '', 'g'), '[\s_-]+', '_', 'g')"
 _RUN = "SELECT {0}, unnest(list_transform(range(1, len(w) - 11), lambda i: array_to_string(w[i:i + 12], ' '))) AS run FROM {1}"
 
+_ROOT = r"lower(trim(regexp_extract(replace(url_decode(replace(path, '+', '%2B')), '\', '/'), '^(?:\s|/|\.+/)*([^/]*)', 1)))"
+
 SQL: dict[str, str] = {
+    "p1_found": rf"""WITH m AS (SELECT DISTINCT group_id, document_id FROM duplicate_groups WHERE group_id IS NOT NULL AND document_id IS NOT NULL QUALIFY min(document_id) OVER (PARTITION BY group_id) < max(document_id) OVER (PARTITION BY group_id)),
+d AS (SELECT document_id, loaded_at, path, trim(regexp_replace(modified, '\s+', ' ', 'g')) AS t, len(list_distinct({_WORDS.format(_entities('text'))})) AS words, {_ROOT} AS root FROM procedure_documents),
+s AS (SELECT document_id, loaded_at, nullif(words, 0) AS words, {_moment()} AS us, CASE WHEN path IS NOT NULL THEN coalesce(trust_rank, 1000000000) END AS trust FROM d LEFT JOIN (SELECT lower(root_name) AS root, min(trust_rank) AS trust_rank FROM path_roots GROUP BY 1) USING (root)),
+f AS (SELECT group_id, document_id, 'text' AS field_name, cast(words AS BIGINT) AS score FROM m JOIN s USING (document_id) UNION ALL SELECT group_id, document_id, 'modified', CASE WHEN us >= epoch_us(TIMESTAMP '2000-01-01') AND us <= epoch_us(loaded_at) THEN us END FROM m JOIN s USING (document_id)
+UNION ALL SELECT group_id, document_id, 'path', -trust FROM m JOIN s USING (document_id))
+SELECT group_id, field_name, document_id FROM f WHERE score IS NOT NULL QUALIFY row_number() OVER (PARTITION BY group_id, field_name ORDER BY score DESC, document_id) = 1""",
     "p3_found": rf"""WITH d AS (SELECT document_id, {_WORDS.format(_entities("coalesce(title, '') || ' ' || coalesce(text, '')"))} AS w FROM procedure_documents),
 s AS (SELECT DISTINCT document_id, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS g FROM d WHERE len(w) >= 20), n AS (SELECT document_id, count(*) AS n FROM s GROUP BY 1),
 o AS (SELECT a.document_id AS document_id_1, b.document_id AS document_id_2, count(*) AS o FROM s a JOIN s b ON a.g = b.g AND a.document_id < b.document_id GROUP BY 1, 2)

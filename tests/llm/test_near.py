@@ -46,6 +46,19 @@ def test_against_brute_force(spark):
         assert all(per[a].group_id == per[b].group_id for a, b in want)
 
 
+def test_hot_parts_are_cut_into_blocks(spark, monkeypatch):
+    from docloom.llm import near as module
+
+    monkeypatch.setattr(module, "PART_POSTINGS", 40)
+    rows = fixture()
+    found = [tuple(r) for r in pairs(near_duplicates(spark.createDataFrame(rows, KIND), "document_id", F.col("text"), 3, 0.5)).collect()]
+    assert set(found) == brute(rows, 3, 0.5) and len(found) == len(set(found))
+    monkeypatch.setattr(module, "PART_POSTINGS", 1)
+    rows = [(k, "a b c d e " + " ".join(f"x{j}" for j in range(k % 3)), "x", 1, [1]) for k in range(30)]
+    near = near_duplicates(spark.createDataFrame(rows, KIND), "document_id", F.col("text"), 1, 0.5)
+    assert {tuple(r) for r in pairs(near).collect()} == brute(rows, 1, 0.5)
+
+
 def test_empty_table(spark):
     near = near_duplicates(spark.createDataFrame([], KIND), "document_id", F.col("text"))
     assert pairs(near).count() == 0 and groups(near).count() == 0
