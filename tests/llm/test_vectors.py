@@ -62,6 +62,25 @@ def test_clusters_are_the_chained_ones(spark):
     assert {r.cluster_key: r.size for r in described} == {c: sum(x == c for _, x in want) for _, c in want}
 
 
+def test_links_near_the_threshold_are_kept(spark):
+    """A stray x near a typical member of a cell is the only bridge to a member y that is near none; random clusters besides."""
+    rng, e = np.random.default_rng(5), np.eye(64)
+    x = 0.8 * e[0] + 0.3 * e[2] + 0.3 * e[1] + np.sqrt(1 - 0.82) * e[60]
+    y = 0.87 * e[0] + np.sqrt(1 - 0.87**2) * e[1]
+    made = [0.9 * e[0] + np.sqrt(0.19) * e[2 + j] for j in range(30)] + [x, y]
+    for size in (119, 80, 60, 40, 25, 15):
+        centre = rng.standard_normal(64)
+        made += [centre + rng.choice([0.45, 0.5, 0.55]) * rng.standard_normal(64) for _ in range(size)]
+    rows = list(enumerate(made))
+    near = cosines(rows) >= 0.8
+    label = np.arange(len(rows))
+    for _ in range(len(rows)):
+        label = np.where(near, label[None, :], len(rows)).min(1)
+    want = {(i, int(label[i])) for i, _ in rows if (label == label[i]).sum() >= 15}
+    assert (31, 0) in want
+    assert {tuple(r) for r in clusters.similarity_clusters(usable(frame(spark, rows, len(rows)))).collect()} == want
+
+
 def test_feature_trees_merge(spark):
     rng = np.random.default_rng(0)
     x = np.vstack([c + 0.02 * rng.standard_normal((50, 64)) for c in np.eye(64)[:5]])
