@@ -186,7 +186,7 @@ def model_texts(spark, folder):
 
 @query
 def pipeline_final(spark, folder):
-    docs = table(spark, folder, "procedure_documents").select("document_id", "path", "document_type", "title", "summary", "text", "cluster_label")
+    docs = table(spark, folder, "procedure_documents").select("document_id", "path", "document_type", "title", "summary", "text")
     return pipeline.find_duplicates(docs).final.select("cluster_label", "item1_id", "item2_id", r6("similarity"), "heuristic_relationship_type", "llm_relationship_type")
 
 

@@ -169,3 +169,25 @@ def test_pipeline(spark):
     out = pipeline.find_duplicates(docs)
     assert {(r.item1_id, r.item2_id) for r in out.final.collect()} == {(0, 1), (0, 2), (1, 2), (4, 5), (0, 3), (1, 3), (2, 3), (6, 7)} and out.summary.first().document_count == 8
     assert pipeline.find_duplicates(docs, cluster=None).final.count() == 16 and pipeline.find_duplicates(docs.limit(0)).final.count() == 0
+
+
+def test_spread_clusters_equal_those_of_one_task(spark):
+    rng = np.random.default_rng(3)
+    x = np.vstack([c + 0.15 * rng.standard_normal((size, 12)) for c, size in zip(np.eye(12)[:4] * 2, (40, 30, 20, 6), strict=True)] + [rng.standard_normal((12, 12))])
+    rows = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)] + [(1000, None), (1001, [0.0] * 12), (1002, [float("nan")] * 12)], "id long, v array<double>")
+    want = {**dict(enumerate(map(int, density.density_labels(x)))), 1000: -1, 1001: -1, 1002: -1}
+    assert {r.id: r.cluster_label for r in density.spread_clusters(rows, "id", "v", block=25).collect()} == want and len(set(want.values())) == 4
+
+
+def test_pipeline_makes_clusters(spark):
+    """Documents as they are read, without labels: two kinds of text and one without words."""
+    rng = np.random.default_rng(4)
+    words = [[f"{kind}word{k}" for k in range(12)] for kind in ("claim", "appeal")]
+    rows = [(20 * g + k, f"a/task/{g}-{k}.json", "task", f"title {g}", None, " ".join([*words[g], *rng.choice(words[g], 6)])) for g in (0, 1) for k in range(20)] + [(99, "a/b.json", "", "apart", "", "")]
+    docs = spark.createDataFrame(rows, "document_id int, path string, document_type string, title string, summary string, text string")
+    out = pipeline.find_duplicates(docs, top_pairs=None)
+    stats = {(r.cluster_label, r.document_type): r["count"] for r in out.cluster_stats.collect()}
+    assert stats == {(0, "task"): 20, (1, "task"): 20, (-1, ""): 1} and out.summary.first().cluster_count == 3
+    found = out.final.collect()
+    assert found and all(r.same_cluster and r.cluster_label == r.item1_id // 20 == r.item2_id // 20 for r in found)
+    assert pipeline.find_duplicates(docs.limit(0)).final.count() == 0
