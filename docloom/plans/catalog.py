@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,6 +24,16 @@ def query(f: Query) -> Query:
     return f
 
 
+def also_whole(**limits) -> Callable[[Callable], Callable]:
+    """Registers a query under its name with the limits of its SQL, and as NAME_whole with the feature's own."""
+
+    def register(f: Callable) -> Callable:
+        QUERIES[f.__name__], QUERIES[f"{f.__name__}_whole"] = f, partial(f, **limits)
+        return f
+
+    return register
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
@@ -261,12 +272,16 @@ def _links(spark, folder, level="title"):
     return graph.links(graph.labelled_pairs(pairs, level, "cross_encoder_similarity_value"))
 
 
-def _small(spark, folder):
+#: Nodes, links and least weight of the filtered graph: those that the SQL has, and the feature's own.
+SMALL, WHOLE = (12, 40, 0.5), (64, 450, 0.0)
+
+
+def _small(spark, folder, limits):
     """The filtered graph that layouts are made of, cut once."""
     from docloom.session import cut
 
     every = cut(_links(spark, folder))
-    made = graph.filter_graph(every, graph.node_totals(every), 12, 40, 0.5)
+    made = graph.filter_graph(every, graph.node_totals(every), *limits)
     return cut(made.links), cut(made.totals), made
 
 
@@ -285,19 +300,19 @@ def graph_nodes(spark, folder):
     return graph.node_totals(_links(spark, folder)).select("node", r6("total"))
 
 
-@query
-def graph_filtered(spark, folder):
-    return _small(spark, folder)[0].select("relationship", "source_node", "target_node", r6("weight"), "pair_count")
+@also_whole(limits=WHOLE)
+def graph_filtered(spark, folder, limits=SMALL):
+    return _small(spark, folder, limits)[0].select("relationship", "source_node", "target_node", r6("weight"), "pair_count")
 
 
-@query
-def graph_filtered_nodes(spark, folder):
-    return _small(spark, folder)[1].select("node", r6("total"))
+@also_whole(limits=WHOLE)
+def graph_filtered_nodes(spark, folder, limits=SMALL):
+    return _small(spark, folder, limits)[1].select("node", r6("total"))
 
 
-@query
-def graph_counts(spark, folder):
-    links, totals, made = _small(spark, folder)
+@also_whole(limits=WHOLE)
+def graph_counts(spark, folder, limits=SMALL):
+    links, totals, made = _small(spark, folder, limits)
     return graph.totals_line(links).select("links", "pairs", r6("weight"), F.lit(made.all_nodes).alias("all_nodes"), F.lit(made.all_links).alias("all_links"))
 
 
@@ -306,27 +321,27 @@ def graph_summary(spark, folder):
     return graph.relationship_summary(_links(spark, folder)).select("relationship", "links", "pairs", r6("weight"))
 
 
-@query
-def graph_arcs(spark, folder):
-    arcs = graph.arcs(_small(spark, folder)[1])
+@also_whole(limits=WHOLE)
+def graph_arcs(spark, folder, limits=SMALL):
+    arcs = graph.arcs(_small(spark, folder, limits)[1])
     return arcs.select("node", *[r6(c) for c in ("total", "share_of_largest", "start", "end", "mid")], F.round(graph.label_rotation(F.col("mid")), 5).alias("rotation"))
 
 
-@query
-def graph_ports(spark, folder):
-    links, totals, _ = _small(spark, folder)
+@also_whole(limits=WHOLE)
+def graph_ports(spark, folder, limits=SMALL):
+    links, totals, _ = _small(spark, folder, limits)
     return graph.ports(links, graph.arcs(totals)).select("relationship", "source_node", "target_node", "side", "node", r6("angle"))
 
 
-@query
-def graph_widths(spark, folder):
-    return graph.widths(_small(spark, folder)[0]).select("relationship", "source_node", "target_node", r6("width"))
+@also_whole(limits=WHOLE)
+def graph_widths(spark, folder, limits=SMALL):
+    return graph.widths(_small(spark, folder, limits)[0]).select("relationship", "source_node", "target_node", r6("width"))
 
 
 @query
 def graph_curves(spark, folder):
     """The first, middle and last point of every chord."""
-    links, totals, _ = _small(spark, folder)
+    links, totals, _ = _small(spark, folder, WHOLE)
     p = graph.ports(links, graph.arcs(totals))
     at = p.groupBy(*graph.KEYS).agg(F.max(F.when(F.col("side") == "source", F.col("angle"))).alias("a"), F.max(F.when(F.col("side") == "target", F.col("angle"))).alias("b"))
     c = at.withColumn("c", graph.chord(F.col("a"), F.col("b"), F.col("source_node") == F.col("target_node")))
@@ -338,20 +353,20 @@ def graph_relationship_order(spark, folder):
     return graph.relationship_order(_links(spark, folder))
 
 
-@query
-def graph_visibility(spark, folder):
-    return graph.visibility(_small(spark, folder)[0])
+@also_whole(limits=WHOLE)
+def graph_visibility(spark, folder, limits=SMALL):
+    return graph.visibility(_small(spark, folder, limits)[0])
 
 
-@query
-def graph_diff_records(spark, folder):
-    links, _, _ = _small(spark, folder)
+@also_whole(limits=WHOLE)
+def graph_diff_records(spark, folder, limits=SMALL):
+    links, _, _ = _small(spark, folder, limits)
     return graph.diff_records(links).select("id", "label", "relationship", r6("weight"), "pairCount", "sourceId", "targetId", "sourceTitle", "targetTitle", "sourceTruncated")
 
 
 @query
 def graph_search(spark, folder):
-    links, _, _ = _small(spark, folder)
+    links, _, _ = _small(spark, folder, WHOLE)
     return graph.search(graph.diff_records(links), " Partial ").select("id", "relationship")
 
 
