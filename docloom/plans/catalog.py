@@ -89,11 +89,11 @@ def tfidf_vocab(spark, folder):
     return vectorize.vocabulary(vectorize.term_frequencies(docs, "doc_id", F.col("text")), docs.count())
 
 
-@query
-def tfidf_vocab_bigrams(spark, folder):
+@also_whole(max_features=50_000)
+def tfidf_vocab_bigrams(spark, folder, max_features=5_000):
     docs = _docs(spark, folder)
     tf = vectorize.term_frequencies(docs, "doc_id", F.col("text"), stop_words=vectorize.STOP_WORDS, bigrams=True)
-    return vectorize.vocabulary(tf, docs.count(), max_features=5_000)
+    return vectorize.vocabulary(tf, docs.count(), max_features=max_features)
 
 
 @query

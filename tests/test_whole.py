@@ -11,6 +11,7 @@ duckdb = pytest.importorskip("duckdb")
 FOLDER = Path("/root/testdata/sf0.01")
 GRAPH = (("LIMIT 12)", "LIMIT 64)"), ("LIMIT 40)", "LIMIT 450)"), ("weight >= 0.5)", "weight >= 0.0)"))
 LIMITS = {f"graph_{n}": GRAPH for n in ("filtered", "filtered_nodes", "counts", "arcs", "ports", "widths", "visibility", "diff_records")}
+LIMITS |= {"tfidf_vocab_bigrams": (("LIMIT 5000", "LIMIT 50000"),)}
 
 
 @pytest.fixture(scope="module")
