@@ -182,17 +182,17 @@ def unordered_pairs(spark, folder):
     return pairs.groupBy(F.least("item1_id", "item2_id").alias("a"), F.greatest("item1_id", "item2_id").alias("b")).agg(F.count("*").alias("n"))
 
 
-@query
-def label_status(spark, folder):
+@also_whole(top=500)
+def label_status(spark, folder, top=200):
     """Labels of TF-IDF pairs without a model: heuristics, and why no model was asked."""
-    docs, found = _tfidf_pairs(spark, folder, 200)
-    pairs = similarity.candidate_pairs(found, docs, "doc_id", {"text": "text"}, 200)
+    docs, found = _tfidf_pairs(spark, folder, top)
+    pairs = similarity.candidate_pairs(found, docs, "doc_id", {"text": "text"}, top)
     return relate.label(pairs).select("item1_id", "item2_id", "heuristic_relationship_type", "llm_relationship_type", "llm_analysis")
 
 
-@query
-def model_texts(spark, folder):
-    return table(spark, folder, "procedure_documents").select("document_id", F.col("title").alias("item1_title"), F.col("summary").alias("item1_summary"), F.col("text").alias("item1_text")).select("document_id", relate.model_text(1, 200).alias("model_text"))
+@also_whole(length=2_500)
+def model_texts(spark, folder, length=200):
+    return table(spark, folder, "procedure_documents").select("document_id", F.col("title").alias("item1_title"), F.col("summary").alias("item1_summary"), F.col("text").alias("item1_text")).select("document_id", relate.model_text(1, length).alias("model_text"))
 
 
 @query
@@ -378,8 +378,8 @@ def node_level(spark, folder):
 
 @query
 def token_diffs(spark, folder):
-    docs, found = _tfidf_pairs(spark, folder, 50)
-    pairs = similarity.candidate_pairs(found, docs, "doc_id", {"text": "text"}, 50)
+    docs, found = _tfidf_pairs(spark, folder, 500)
+    pairs = similarity.candidate_pairs(found, docs, "doc_id", {"text": "text"}, 500)
     d = pairs.withColumn("d", diff.diff_column(F.col("item1_text"), F.col("item2_text")))
     ops = lambda side, op: F.size(F.filter(f"d.{side}", lambda t: t["op"] == op))
     return d.select("item1_id", "item2_id", ops("left", "same").alias("same"), ops("left", "delete").alias("deleted"), ops("right", "insert").alias("inserted"), "d.truncated")
@@ -391,9 +391,9 @@ def sentences(spark, folder):
     return X.sentences(table(spark, folder, "documents"), ["doc_id"], "text")
 
 
-@query
-def text_previews(spark, folder):
-    c = X.clipped("text", 500)
+@also_whole(length=20_000)
+def text_previews(spark, folder, length=500):
+    c = X.clipped("text", length)
     return table(spark, folder, "documents").select("doc_id", X.preview("text").alias("preview"), X.html_lines("text").alias("html"), c["text"].alias("clipped"), c["truncated"].alias("truncated"))
 
 

@@ -11,7 +11,7 @@ duckdb = pytest.importorskip("duckdb")
 FOLDER = Path("/root/testdata/sf0.01")
 GRAPH = (("LIMIT 12)", "LIMIT 64)"), ("LIMIT 40)", "LIMIT 450)"), ("weight >= 0.5)", "weight >= 0.0)"))
 LIMITS = {f"graph_{n}": GRAPH for n in ("filtered", "filtered_nodes", "counts", "arcs", "ports", "widths", "visibility", "diff_records")}
-LIMITS |= {"tfidf_vocab_bigrams": (("LIMIT 5000", "LIMIT 50000"),)}
+LIMITS |= {"tfidf_vocab_bigrams": (("LIMIT 5000", "LIMIT 50000"),), "label_status": (("LIMIT 200)", "LIMIT 500)"),), "model_texts": ((", 200)", ", 2500)"),), "text_previews": (("500", "20000"),)}
 
 
 @pytest.fixture(scope="module")
@@ -42,3 +42,8 @@ def test_whole_graph_without_sql(spark, duck):
     partial = sum(r.relationship == "Partial inclusion" for r in links)
     found = QUERIES["graph_search"](spark, str(FOLDER)).collect()
     assert sum(r.relationship == "Partial inclusion" for r in found) == partial > 0
+
+
+def test_whole_diffs(spark, duck):
+    pairs = QUERIES["dup_pairs_labelled"](spark, str(FOLDER)).count()
+    assert QUERIES["token_diffs"](spark, str(FOLDER)).count() == pairs > 50
