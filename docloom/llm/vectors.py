@@ -26,15 +26,13 @@ def parse(text: str | None) -> list[float] | None:
         return None
 
 
-def unit(values: np.ndarray) -> np.ndarray | None:
-    """A row's unit vector in float32; None if not all numbers are finite or all are zero."""
-    if not np.isfinite(values).all():
-        return None
-    top = np.abs(values).max(initial=0.0)
-    if top == 0:
-        return None
-    values = values / top  # neither overflow nor underflow in the norm
-    return (values / np.sqrt(values @ values)).astype("<f4")
+def units(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which rows can be scaled to length one (all numbers finite, not all zero), and those rows scaled, in float32."""
+    good = np.isfinite(values).all(1) & (values != 0).any(1) if len(values) else np.zeros(0, bool)
+    values = values[good]
+    values = values / np.abs(values).max(1, initial=0.0, keepdims=True)  # neither overflow nor underflow in the norm
+    values = values / np.sqrt(np.einsum("ij,ij->i", values, values))[:, None]
+    return good, values.astype("<f4") + np.float32(0)  # no negative zero
 
 
 def usable(rows: DataFrame, width: int = 64, id_column: str = "vec_id", array_column: str = "embedding", text_column: str | None = "embedding_str") -> DataFrame:
@@ -47,19 +45,18 @@ def usable(rows: DataFrame, width: int = 64, id_column: str = "vec_id", array_co
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, vecs = [], []
-            texts = batch.column(2)
-            for k, (i, array) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1), strict=True)):
-                if array.is_valid:
-                    inner = array.values
-                    got = None if len(inner) != width or inner.null_count else inner.to_numpy(zero_copy_only=False).astype(np.float64)
-                else:
-                    numbers = parse(texts[k].as_py())
-                    got = None if numbers is None or len(numbers) != width else np.array(numbers)
-                if got is not None and (v := unit(got)) is not None:
-                    ids.append(i)
-                    vecs.append((v + np.float32(0)).tobytes())  # no negative zero
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(vecs, pa.binary())], ["vec_id", "vec"])
+            arrays, texts = batch.column(1), batch.column(2)
+            fits = arrays.value_lengths().fill_null(-1).to_numpy(zero_copy_only=False) == width
+            flat = arrays.filter(pa.array(fits)).flatten()  # a null among the numbers becomes NaN
+            numbers = flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width)
+            at = np.flatnonzero(fits)
+            told = np.flatnonzero(arrays.is_null().to_numpy(zero_copy_only=False) & texts.is_valid().to_numpy(zero_copy_only=False))
+            read = [(k, v) for k, v in zip(told, map(parse, texts.take(pa.array(told)).to_pylist()), strict=True) if v is not None and len(v) == width]
+            if read:
+                at, numbers = np.concatenate([at, [k for k, _ in read]]), np.vstack([numbers, [v for _, v in read]])
+            good, vecs = units(numbers)
+            ids = batch.column(0).take(pa.array(at[good].astype(np.int64)))
+            yield pa.RecordBatch.from_arrays([ids, pa.array([v.tobytes() for v in vecs], pa.binary())], ["vec_id", "vec"])
 
     text = F.col(text_column) if text_column else F.lit(None)
     got = rows.select(F.col(id_column).cast("long").alias("vec_id"), F.col(array_column).cast("array<double>").alias("a"), text.cast("string").alias("s")).where("vec_id is not null").mapInArrow(run, "vec_id long, vec binary")
@@ -75,10 +72,12 @@ def matrix(column: pa.ChunkedArray | pa.Array | list, width: int) -> np.ndarray:
 def folded(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Members (vec_id, rep) and representatives (rep, vec) of exactly equal unit vectors.
 
-    ``rep`` is the smallest id.  Copies fold by partial aggregation before the shuffle.
+    ``rep`` is the smallest id.  Copies are found by 128-bit digests, so that vectors travel for the
+    digests' sake not at all, and copies fold by partial aggregation before the shuffle.
     """
     vectors = cut(vectors)
-    reps = vectors.groupBy("vec").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
-    several = reps.where("copies > 1").select("vec", "rep")
-    members = vectors.join(several, "vec", "left").select("vec_id", F.coalesce("rep", "vec_id").alias("rep"))
-    return members, vectors.join(reps.select(F.col("rep").alias("vec_id")), "vec_id", "left_semi").select(F.col("vec_id").alias("rep"), "vec")
+    keys = vectors.selectExpr("vec_id", "xxhash64(vec) as k1", "xxhash64(vec, 7L) as k2")
+    several = keys.groupBy("k1", "k2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")).where("copies > 1").select("k1", "k2", "rep")
+    copies = cut(keys.join(several, ["k1", "k2"]).where("vec_id <> rep").select("vec_id", "rep"))
+    members = vectors.select("vec_id").join(copies, "vec_id", "left").select("vec_id", F.coalesce("rep", "vec_id").alias("rep"))
+    return members, vectors.join(copies.select("vec_id"), "vec_id", "left_anti").select(F.col("vec_id").alias("rep"), "vec")

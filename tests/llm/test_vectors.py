@@ -134,3 +134,59 @@ def test_recall_of_one_graph():
 @pytest.mark.parametrize("f", [lambda v: clusters.similarity_clusters(v), lambda v: proximity.nearest(v)])
 def test_empty(spark, f):
     assert f(usable(spark.createDataFrame([], KIND))).count() == 0
+
+
+def test_trees_keep_all_mass_and_many_clusters():
+    """4,000 clusters of 20 in four trees that merge: nothing is thrown away and hardly a vector is far from all cells."""
+    rng = np.random.default_rng(3)
+    centres = rng.standard_normal((4_000, 64))
+    centres /= np.linalg.norm(centres, axis=1, keepdims=True)
+    x = np.repeat(centres, 20, axis=0) + 0.03 * rng.standard_normal((80_000, 64))
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True))[rng.permutation(len(x))]
+    merged = clusters.FeatureTree(64)
+    for part in range(4):
+        tree = clusters.FeatureTree(64)
+        tree.insert_many(x[part::4])
+        assert round(tree.mass()) == 20_000
+        for n, ls, ss in zip(*tree.features(), strict=True):
+            merged.insert(n, ls, ss)
+    assert round(merged.mass()) == 80_000
+    count, linear, _ = merged.features()
+    cells = clusters.ward(count[count > 1], linear[count > 1], 0.8)
+    assert len(cells) >= 3_900
+    assert ((x @ cells.T).max(1) < clusters.NEAR).mean() < 0.05
+
+
+def test_small_trees_keep_all_mass():
+    """Beyond their bounds trees move single vectors to the strays or grow their radius; the mass stays."""
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((3_000, 16))
+    x[:1_500] = np.repeat(x[:300], 5, axis=0) + 0.01 * rng.standard_normal((1_500, 16))
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True))[rng.permutation(len(x))]
+    for most in (32, 256):
+        one, two = clusters.FeatureTree(16, most=most), clusters.FeatureTree(16, most=most)
+        one.insert_many(x[:2_000])
+        two.insert_many(x[2_000:])
+        for tree, into in ((two, one), (two.strays, one.strays)):
+            for n, ls, ss in zip(*tree.features(), strict=True):
+                into.insert(n, ls, ss)
+        assert round(one.mass()) == 3_000 and one.leaves <= most and one.strays.leaves <= clusters.STRAY_LEAVES
+
+
+def test_far_vectors_meet(spark, monkeypatch):
+    """Pairs of far vectors are found through hashes and hot buckets cut into blocks as by comparing all."""
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((3_000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x[1_500:] = 0.82 * x[:1_500] + np.sqrt(1 - 0.82**2) * np.linalg.qr(rng.standard_normal((64, 64)))[0][rng.integers(0, 64, 1_500)]
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype("<f4")
+    sims = np.triu(x @ x.T, 1)
+    want = {(int(a), int(b)) for a, b in zip(*np.nonzero(sims >= 0.8), strict=True)}
+    far = spark.createDataFrame([(k, bytearray(v.tobytes())) for k, v in enumerate(x)], "rep long, vec binary")
+    assert len(want) > 300
+    for bucket, block in ((10_000, 10_000), (10_000, 400), (512, 10_000), (512, 20)):
+        monkeypatch.setattr(clusters, "BUCKET", bucket)
+        monkeypatch.setattr(clusters, "BUCKET_BLOCK", block)
+        found = [tuple(r) for r in clusters.far_links(far, 0.8, 64).collect()]
+        assert len(found) == len(set(found)) and set(found) <= want and len(found) >= 0.995 * len(want)
+        assert bucket < 10_000 or set(found) == want
