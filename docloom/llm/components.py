@@ -20,25 +20,27 @@ from docloom.session import cut
 RATE = 0.15
 #: Hops a cluster grows in one round.
 HOPS = 3
+#: Members beyond which a component's name is broadcast.
+GIANT = 1_000_000
 #: Rounds after which the recursion is given up with an error; edges shrink geometrically, so it is never near.
 MOST_ROUNDS = 60
 
 
 def _shift(vertex: str, seed: int) -> str:
-    """The vertex's shift in this round, drawn from a hash: repeatable on any executor."""
-    return f"(-ln((pmod(xxhash64({vertex}, {seed}L), 1048576) + 0.5D) / 1048576D) / {RATE}D)"
+    """The vertex's shift in this round, drawn from 52 bits of a hash: repeatable on any executor, hardly ever a tie."""
+    return f"(-ln((shiftrightunsigned(xxhash64({vertex}, {seed}L), 12) + 0.5D) / {2**52}D) / {RATE}D)"
 
 
 def _grow(edges: DataFrame, seed: int) -> DataFrame:
     """(v, c): the cluster centre of every vertex of symmetric edges (a, b)."""
-    best = F.max(F.struct("reach", "c")).alias("best")
+    best = F.max_by("c", "reach").alias("c"), F.max("reach").alias("reach")  # of fixed width, so that hashes aggregate and nothing is sorted
     state = edges.select(F.col("a").alias("v")).distinct().selectExpr("v", "v as c", f"{_shift('v', seed)} as reach")
     for hop in range(HOPS):
         if hop == 0:  # every vertex stands for itself yet: no join is needed
             offers = edges.selectExpr("b as v", "a as c", f"{_shift('a', seed)} - 1 as reach")
         else:
             offers = edges.join(state.withColumnRenamed("v", "a"), "a").selectExpr("b as v", "c", "reach - 1 as reach")
-        state = state.unionByName(offers).groupBy("v").agg(best).selectExpr("v", "best.c as c", "best.reach as reach")
+        state = state.unionByName(offers).groupBy("v").agg(*best)
     return state.select("v", "c")
 
 
@@ -65,15 +67,18 @@ def components(edges: DataFrame, left: str = "a", right: str = "b") -> DataFrame
         raise RuntimeError("the decomposition did not end")
     if not maps:
         return now.select(F.col("x").alias("vertex"), F.col("y").alias("group_id"))
-    # Compose from the last round back: roots are named by the smallest vertex under them, which is
-    # carried up round by round so that no join meets all members of a component on one key.
+    # Compose from the last round back: first every vertex gets the root of its component.
     final = maps[-1].select("v", F.col("c").alias("root"))
     for earlier in reversed(maps[:-1]):
         later = final.select(F.col("v").alias("c"), "root")
         final = earlier.join(later, "c", "left").select("v", F.coalesce("root", "c").alias("root"))
+    # Then roots are renamed to the smallest vertex.  Those of giant components, of which there can be no more
+    # than vertices divided by GIANT, are broadcast, so that no task has to take in all members of one.
     final = cut(final)
-    least = final.groupBy("root").agg(F.min("v").alias("group_id"))
-    return final.join(least, "root").select(F.col("v").alias("vertex"), "group_id")
+    least = cut(final.groupBy("root").agg(F.min("v").alias("group_id"), F.count("*").alias("members")))
+    giant = F.broadcast(least.where(F.col("members") > GIANT).select("root", "group_id"))
+    others = final.join(giant.select("root"), "root", "left_anti").join(least.where(F.col("members") <= GIANT).select("root", "group_id"), "root")
+    return final.join(giant, "root").unionByName(others).select(F.col("v").alias("vertex"), "group_id")
 
 
 def normal_label(label):

@@ -47,3 +47,12 @@ def test_matches(spark):
     analysed = spark.createDataFrame(labels, "item1_id long, item2_id long, llm_relationship_type string")
     assert {tuple(r) for r in match_groups(pairs, analysed).collect()} == {(1, 1), (2, 1), (3, 1), (7, 7), (8, 7)}
     assert match_groups(pairs.limit(0), analysed).count() == 0
+
+
+def test_giant_components_get_their_names_by_broadcast(spark, monkeypatch):
+    from docloom.llm import components as module
+
+    monkeypatch.setattr(module, "GIANT", 5)
+    edges = [(k, k + 1) for k in range(10, 40)] + [(100, 101), (101, 102)]
+    found = {r.vertex: r.group_id for r in module.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert found == {k: 10 for k in range(10, 41)} | {100: 100, 101: 100, 102: 100}
