@@ -5,15 +5,18 @@ neighbours, and a neighbour is kept only if no kept one is much nearer to it tha
 (pruning relaxed by ``ALPHA``), so that edges point in diverse directions.  A query is a beam search
 in each shard it is sent to.  All searches of a batch run side by side in numpy.
 
-Shards come from landmarks fitted on a bounded sample (SAMPLE rows); every row is indexed.  A shard
-that grows beyond SHARD rows is split by hash and all its parts are searched, and the queries to a
-shard are cut into blocks, so neither a task's index nor its queries grow with the data.  Exact
-copies are folded before and unfolded after.
+Shards come from landmarks, in levels: those of the first are fitted on a bounded sample of all rows,
+those of the next inside each shard that is still too large, on a bounded sample of its rows, and so
+on.  So shards grow in number with the data and not in size, and a query goes to ``PROBES`` of them at
+most, whatever the number of rows.  Every row is indexed.  The queries to a shard are cut into blocks,
+so neither a task's index nor its queries grow with the data.  Exact copies are folded before and
+unfolded after.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -22,12 +25,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.llm.vectors import folded, matrix
-from docloom.session import cut, task_count
+from docloom.session import cut, scratch, task_count
 
-DEGREE, BEAM, QUERY_BEAM, ALPHA = 24, 40, 80, 1.2
-#: Rows of the sample the landmarks are fitted on, landmarks, rows of a shard (about), landmarks a query looks through, queries in one task.
-SAMPLE, LANDMARKS, SHARD, PROBES, QUERIES_A_TASK = 20_000, 512, 4_096, 4, 40_000
-_STEP = 1_024  # searches side by side
+DEGREE, BEAM, QUERY_BEAM, ALPHA = 24, 40, 48, 1.2
+#: Rows of the sample landmarks are fitted on, landmarks, rows of a shard (about), shards a query looks through, how much less like a landmark may be than the best, queries in one task.
+SAMPLE, LANDMARKS, SHARD, PROBES, MARGIN, QUERIES_A_TASK = 20_000, 512, 4_096, 4, 0.2, 40_000
+#: Levels of landmarks at most: LANDMARKS ** MOST_LEVELS shards.  What is too large even so lies in one direction and is cut by hash.
+MOST_LEVELS = 4
+#: Searches side by side, nodes of each looked around at a time.
+_STEP, _ROUND = 512, 4
 
 
 def _prune(x: np.ndarray, points: np.ndarray, candidates: np.ndarray, degree: int, alpha: float) -> np.ndarray:
@@ -56,7 +62,7 @@ class Graph:
     def __init__(self, x: np.ndarray, near: np.ndarray | None = None, seed: int = 0):
         self.x = x
         n = len(x)
-        self.entries = np.arange(min(n, max(8, int(4 * np.sqrt(n)))))  # rows come in random order
+        self.entries = np.arange(min(n, max(8, int(16 * np.sqrt(n)))))  # rows come in random order
         if near is not None:
             self.near = near
             return
@@ -113,53 +119,66 @@ class Graph:
         return np.concatenate(out) if out else np.empty((0, beam), np.int32), np.concatenate(sims) if sims else np.empty((0, beam), np.float32)
 
     def _search(self, q: np.ndarray, beam: int, entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        n = len(q)
+        n, none = len(q), len(self.x)
         first = q @ self.x[entries].T
-        k = min(4, len(entries))
+        k = min(beam // 2, len(entries))
         start = np.argpartition(-first, k - 1, axis=1)[:, :k]
-        nodes = np.full((n, beam), -1, np.int32)
+        nodes = np.full((n, beam), none, np.int32)
         sims = np.full((n, beam), -2, np.float32)
-        nodes[:, :k] = entries[start]
-        sims[:, :k] = np.take_along_axis(first, start, 1)
-        seen = np.zeros((n, beam), bool)
+        todo = np.zeros((n, beam), bool)  # in the beam, not looked around yet
+        nodes[:, :k], sims[:, :k], todo[:, :k] = entries[start], np.take_along_axis(first, start, 1), True
+        seen = np.zeros((n, none + 1), bool)
+        seen[np.arange(n)[:, None], nodes[:, :k]] = True
+        seen[:, none] = True
         live = np.arange(n)
-        while len(live):
-            some, sim, old = nodes[live], sims[live], seen[live]
-            pick = np.where(old | (some < 0), -3, sim).argmax(1)
-            rows = np.arange(len(live))
-            open_ = ~old[rows, pick] & (some[rows, pick] >= 0)
-            live, some, sim, old, pick = live[open_], some[open_], sim[open_], old[open_], pick[open_]
+        while True:
+            score = np.where(todo[live], sims[live], -3)
+            pick = np.argpartition(-score, _ROUND - 1, axis=1)[:, :_ROUND]
+            value = np.take_along_axis(score, pick, 1)
+            open_ = value.max(1) > -3
+            live, pick, value = live[open_], pick[open_], value[open_]
             if not len(live):
                 break
-            rows = np.arange(len(live))
-            old[rows, pick] = True
-            next_ = self.near[some[rows, pick]]
-            fresh = (next_ >= 0) & ~(next_[:, :, None] == some[:, None, :]).any(2)
-            got = np.where(fresh, np.matmul(self.x[next_], q[live][:, :, None])[:, :, 0], -2)
-            all_nodes, all_sims, all_seen = np.hstack([some, np.where(fresh, next_, -1)]), np.hstack([sim, got]), np.hstack([old, np.zeros_like(fresh)])
+            at = live[:, None]
+            todo[at, pick] = False
+            around = np.where(value > -3, nodes[at, pick], none)
+            next_ = self.near[np.minimum(around, none - 1)]
+            next_ = np.where((around[:, :, None] < none) & (next_ >= 0), next_, none).reshape(len(live), -1)
+            row, column = np.nonzero(~seen[at, next_])
+            node = next_[row, column]
+            seen[live[row], node] = True
+            sim = np.einsum("ij,ij->i", self.x[node], q[live[row]])
+            better = sim > sims[live].min(1)[row]
+            _, once = np.unique(row[better] * np.int64(none) + node[better], return_index=True)  # two nodes can have one neighbour
+            row, node, sim = row[better][once], node[better][once], sim[better][once]
+            if not len(row):
+                continue
+            count = np.bincount(row, minlength=len(live))
+            place = beam + np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+            width = beam + count.max()
+            all_nodes, all_sims, all_todo = np.full((len(live), width), none, np.int32), np.full((len(live), width), -2, np.float32), np.zeros((len(live), width), bool)
+            all_nodes[:, :beam], all_sims[:, :beam], all_todo[:, :beam] = nodes[live], sims[live], todo[live]
+            all_nodes[row, place], all_sims[row, place], all_todo[row, place] = node, sim, True
             top = np.argpartition(-all_sims, beam - 1, axis=1)[:, :beam]
-            nodes[live], sims[live], seen[live] = np.take_along_axis(all_nodes, top, 1), np.take_along_axis(all_sims, top, 1), np.take_along_axis(all_seen, top, 1)
+            nodes[live], sims[live], todo[live] = np.take_along_axis(all_nodes, top, 1), np.take_along_axis(all_sims, top, 1), np.take_along_axis(all_todo, top, 1)
         order = np.argsort(-sims, axis=1, kind="stable")
-        return np.take_along_axis(nodes, order, 1), np.take_along_axis(sims, order, 1)
+        nodes = np.take_along_axis(nodes, order, 1)
+        return np.where(nodes == none, -1, nodes), np.take_along_axis(sims, order, 1)
 
 
-def landmarks(reps: DataFrame, width: int, sample: int = SAMPLE, count: int = LANDMARKS, shard: int = SHARD) -> tuple[np.ndarray, np.ndarray]:
-    """Unit landmarks fitted on a bounded sample (the rows of smallest hash), and the shard of each.
+def fit(x: np.ndarray, total: int, count: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """``count`` unit landmarks of a sample of ``total`` rows, and the number of the shard of each, from 0.
 
-    Landmarks are joined to shards of about equal size, nearest landmarks together.
+    Landmarks are joined to shards of about ``most`` rows, nearest landmarks together.
     """
-    total = reps.count()
-    share = min(1.0, 1.5 * sample / max(1, total))
-    drawn = reps.where(F.pmod(F.xxhash64("rep"), F.lit(1_000_003)) <= share * 1_000_003).limit(2 * sample).select("vec").collect()  # bounded by 2 * sample rows
-    x = matrix([bytes(r.vec) for r in drawn], width)
     if not len(x):
-        return np.zeros((1, width), np.float32), np.zeros(1, np.int64)
+        return np.zeros((1, x.shape[1]), np.float32), np.zeros(1, np.int64)
     rng = np.random.default_rng(5)
     c = x[rng.choice(len(x), min(count, len(x)), replace=False)].copy()
     for _ in range(6):
-        nearest = (x @ c.T).argmax(1)
-        sums = np.zeros((len(c), width))
-        np.add.at(sums, nearest, x)
+        nearest_ = (x @ c.T).argmax(1)
+        sums = np.zeros((len(c), x.shape[1]))
+        np.add.at(sums, nearest_, x)
         norm = np.linalg.norm(sums, axis=1, keepdims=True)
         c = np.where(norm > 1e-9, sums / np.maximum(norm, 1e-9), c).astype(np.float32)
     load = np.bincount((x @ c.T).argmax(1), minlength=len(c)) * (total / len(x))
@@ -169,53 +188,153 @@ def landmarks(reps: DataFrame, width: int, sample: int = SAMPLE, count: int = LA
         head = np.flatnonzero(free)[load[free].argmax()]
         size = 0.0
         for k in np.argsort(-sims[head], kind="stable"):
-            if free[k] and (size == 0 or size + load[k] <= shard):
+            if free[k] and (size == 0 or size + load[k] <= most):
                 shards[k], free[k], size = number, False, size + load[k]
-            if size >= shard:
+            if size >= most:
                 break
         number += 1
     return c, shards
 
 
-def _route(rows: DataFrame, marks: np.ndarray, shards: np.ndarray, probes: int, width: int) -> DataFrame:
-    """(rep, shard, vec, rank): each row with the shards of its ``probes`` nearest landmarks, nearest first."""
-    sent = rows.sparkSession.sparkContext.broadcast((marks, shards))  # at most LANDMARKS vectors
+def _nearest_shards(x: np.ndarray, marks: np.ndarray, shards: np.ndarray, probes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, shard, score): the shards of each row's ``probes`` nearest landmarks, each once, with the cosine to the landmark."""
+    rows, to, scores = [], [], []
+    k = min(probes, len(marks))
+    for a in range(0, len(x), 4_096):
+        sims = x[a : a + 4_096] @ marks.T
+        top = np.argpartition(-sims, k - 1, axis=1)[:, :k]
+        score = np.take_along_axis(sims, top, 1)
+        order = np.argsort(-score, axis=1, kind="stable")
+        shard, score = shards[np.take_along_axis(top, order, 1)], np.take_along_axis(score, order, 1)
+        once = np.ones(shard.shape, bool)
+        for j in range(1, k):
+            once[:, j] = ~(shard[:, :j] == shard[:, j : j + 1]).any(1)
+        row, rank = np.nonzero(once)
+        rows.append(row + a)
+        to.append(shard[row, rank])
+        scores.append(score[row, rank].astype(np.float64))
+    return tuple(np.concatenate(v) if v else np.empty(0, kind) for v, kind in ((rows, np.int64), (to, np.int64), (scores, float)))
+
+
+@dataclass(frozen=True)
+class Shards:
+    """Landmarks by level: those of the first, and per further level a table (shard, n, marks, numbers).
+
+    The shards below shard s are numbered s * LANDMARKS + 1 and on; all lie below shard 0.
+    """
+
+    width: int
+    marks: np.ndarray
+    numbers: np.ndarray
+    levels: list[DataFrame]
+
+    def route(self, rows: DataFrame, probes: int) -> DataFrame:
+        """(rep, vec, shard, score): each row (rep, vec) with ``probes`` shards at most that are near it."""
+        return _below(_first(rows, self.width, self.marks, self.numbers, probes), self.levels, self.width, probes)
+
+
+def _first(rows: DataFrame, width: int, marks: np.ndarray, numbers: np.ndarray, probes: int) -> DataFrame:
+    sent = rows.sparkSession.sparkContext.broadcast((marks, numbers))  # at most LANDMARKS vectors
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c, of = sent.value
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            k = min(probes, len(c))
-            near = np.argsort(-(matrix(batch.column(1), width) @ c.T), axis=1, kind="stable")[:, :k]
-            to = of[near]
-            once = np.array([[to[i, j] not in to[i, :j] for j in range(k)] for i in range(len(to))])
-            row, rank = np.nonzero(once)
-            taken = batch.take(pa.array(row))
-            yield pa.RecordBatch.from_arrays([taken.column(0), pa.array(to[row, rank], pa.int64()), taken.column(1), pa.array(rank.astype(np.int32))], ["rep", "shard", "vec", "rank"])
+            if batch.num_rows:
+                row, shard, score = _nearest_shards(matrix(batch.column(1), width), *sent.value, probes)
+                yield pa.RecordBatch.from_arrays([*batch.take(pa.array(row)).columns, pa.array(shard + 1, pa.int64()), pa.array(score)], ["rep", "vec", "shard", "score"])
 
-    return rows.mapInArrow(run, "rep long, shard long, vec binary, rank int")
+    return rows.select("rep", "vec").mapInArrow(run, "rep long, vec binary, shard long, score double")
 
 
-def build_index(reps: DataFrame, width: int, marks: np.ndarray, shards: np.ndarray) -> tuple[DataFrame, DataFrame]:
-    """The index (shard, part, node, rep, vec, near), a graph per part of a shard, and the parts (shard, parts)."""
-    home = _route(reps, marks, shards, 1, width).select("rep", "shard", "vec")
-    sizes = cut(home.groupBy("shard").agg(F.count("*").alias("n")).withColumn("parts", F.ceil(F.col("n") / (2 * SHARD)).cast("int")))
-    placed = home.join(sizes.select("shard", "parts"), "shard").withColumn("part", F.pmod(F.xxhash64("rep", F.lit(3)), "parts").cast("int"))
+def _below(rows: DataFrame, levels: list[DataFrame], width: int, probes: int) -> DataFrame:
+    """Rows (rep, vec, shard, score) that stand in a shard with landmarks of its own move to the shards below it."""
+    tasks = task_count(rows.sparkSession)
+
+    def step(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left) or not len(right):
+            return pd.DataFrame({"rep": [], "vec": [], "shard": [], "score": []})
+        model = right.iloc[0]
+        marks, numbers = np.frombuffer(model["marks"], np.float32).reshape(-1, width), np.frombuffer(model["numbers"], np.int64)
+        row, shard, score = _nearest_shards(matrix(left["vec"].tolist(), width), marks, numbers, probes)
+        return pd.DataFrame({"rep": left["rep"].to_numpy()[row], "vec": left["vec"].to_numpy()[row], "shard": model["shard"] * LANDMARKS + 1 + shard, "score": score})
+
+    for level in levels:
+        blocks = level.select("shard", F.ceil(F.col("n") / QUERIES_A_TASK).cast("int").alias("blocks"))
+        left = rows.join(blocks, "shard").withColumn("block", F.pmod(F.xxhash64("rep", F.lit(5)), "blocks").cast("int")).drop("blocks")
+        right = level.join(blocks, "shard").select("shard", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "marks", "numbers")
+        keys = ["shard", "block"]
+        moved = left.repartition(tasks, *keys).groupBy(*keys).cogroup(right.repartition(tasks, *keys).groupBy(*keys)).applyInPandas(step, "rep long, vec binary, shard long, score double")
+        rows = rows.join(blocks.select("shard"), "shard", "left_anti").select("rep", "vec", "shard", "score").unionByName(moved)
+        if probes > 1:  # the best of all, so that the number of shards a row goes to stays the same
+            best = Window.partitionBy("rep").orderBy(F.desc("score"), F.asc("shard"))
+            rows = rows.withColumn("place", F.row_number().over(best)).where(F.col("place") <= probes).drop("place")
+    return rows
+
+
+def make_shards(reps: DataFrame, width: int) -> tuple[Shards, DataFrame, DataFrame]:
+    """Shards fitted to the rows, the rows in them (rep, vec, shard), and the shards' sizes (shard, n)."""
+    total = reps.count()
+    share = min(1.0, 1.5 * SAMPLE / max(1, total))
+    drawn = reps.where(F.pmod(F.xxhash64("rep"), F.lit(1_000_003)) <= share * 1_000_003).limit(2 * SAMPLE).select("vec").collect()  # bounded by 2 * SAMPLE rows
+    shards = Shards(width, *fit(matrix([bytes(r.vec) for r in drawn], width), total, LANDMARKS, SHARD), [])
+
+    def model(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        marks, numbers = fit(matrix(rows.sort_values("rep")["vec"].tolist(), width), int(rows["n"].iloc[0]), LANDMARKS, SHARD)
+        return pd.DataFrame({"shard": [key[0]], "n": [rows["n"].iloc[0]], "marks": [marks.tobytes()], "numbers": [numbers.astype(np.int64).tobytes()]})
+
+    rows = _first(reps, width, shards.marks, shards.numbers, 1)
+    for number in range(MOST_LEVELS):
+        sizes = cut(rows.groupBy("shard").agg(F.count("*").alias("n")))  # a row per shard
+        large = sizes.where(F.col("n") > 2 * SHARD)
+        if number == MOST_LEVELS - 1 or large.isEmpty():
+            break
+        some = rows.join(large, "shard").where(F.pmod(F.xxhash64("rep", F.lit(31)), F.lit(1_000_003)) <= F.least(F.lit(1.0), SAMPLE / F.col("n")) * 1_000_003)
+        level = cut(some.select("shard", "n", "rep", "vec").groupBy("shard").applyInPandas(model, "shard long, n long, marks binary, numbers binary"))
+        shards.levels.append(level)
+        rows = cut(_below(rows, [level], width, 1))
+    return shards, rows, sizes
+
+
+def build_index(reps: DataFrame, width: int) -> tuple[Shards, DataFrame, DataFrame]:
+    """The shards, the index (shard, part, node, rep, vec, near), a graph per part of a shard, and the parts (shard, parts)."""
+    shards, home, sizes = make_shards(reps, width)
+    sizes = sizes.select("shard", F.ceil(F.col("n") / (2 * SHARD)).cast("int").alias("parts"))
+    placed = home.join(sizes, "shard").withColumn("part", F.pmod(F.xxhash64("rep", F.lit(3)), "parts").cast("int"))
 
     def graph(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.iloc[np.random.default_rng(11).permutation(len(rows))] if len(rows) else rows
         made = Graph(matrix(rows["vec"].tolist(), width))
         return pd.DataFrame({"shard": key[0], "part": key[1], "node": np.arange(len(rows), dtype=np.int32), "rep": rows["rep"].to_numpy(), "vec": rows["vec"].to_numpy(), "near": [r.tobytes() for r in made.near]})
 
-    spread = placed.select("shard", "part", F.col("rep"), "vec").repartition(task_count(reps.sparkSession), "shard", "part").sortWithinPartitions("shard", "part", "rep")
-    return cut(spread.groupBy("shard", "part").applyInPandas(graph, "shard long, part int, node int, rep long, vec binary, near binary")), sizes.select("shard", "parts")
+    spread = placed.select("shard", "part", "rep", "vec").repartition(task_count(reps.sparkSession), "shard", "part").sortWithinPartitions("shard", "part", "rep")
+    return shards, cut(spread.groupBy("shard", "part").applyInPandas(graph, "shard long, part int, node int, rep long, vec binary, near binary")), sizes
 
 
-def query_index(index: DataFrame, parts: DataFrame, queries: DataFrame, width: int, marks: np.ndarray, shards: np.ndarray, k: int, probes: int = PROBES) -> DataFrame:
-    """(rep, other, cosine): up to ``k`` + 1 found per query and part, the query itself left out."""
-    sent = _route(queries, marks, shards, probes, width).join(parts, "shard")
-    sent = sent.select("rep", "shard", "vec", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+def send(queries: DataFrame, shards: Shards, parts: DataFrame, probes: int = PROBES) -> DataFrame:
+    """(rep, shard, part, vec): each query (rep, vec) with the parts of shards it looks through.
+
+    Shards whose landmark is much less like the query than the best one's are left out.
+    """
+    sent = shards.route(queries, probes)
+    if probes > 1:
+        best = Window.partitionBy("rep")
+        if shards.levels:
+            sent = sent.withColumn("best", F.max("score").over(best)).where(F.col("score") >= F.col("best") - MARGIN)
+        else:  # a row's shards come from one batch: no shuffle is needed
+
+            def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                for batch in batches:
+                    rep, score = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 3))
+                    if len(rep):
+                        start = np.flatnonzero(np.append(True, rep[1:] != rep[:-1]))
+                        top = np.repeat(np.maximum.reduceat(score, start), np.diff(np.append(start, len(rep))))
+                        yield batch.filter(pa.array(score >= top - MARGIN))
+
+            sent = sent.mapInArrow(near, "rep long, vec binary, shard long, score double")
+    return sent.join(parts, "shard").select("rep", "shard", "vec", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+
+
+def query_index(index: DataFrame, sent: DataFrame, width: int, k: int) -> DataFrame:
+    """(rep, other, cosine): up to ``k`` + 1 found per query sent and part, the query itself left out."""
     load = sent.groupBy("shard", "part").agg(F.ceil(F.count("*") / QUERIES_A_TASK).cast("int").alias("blocks"))
     load = cut(load)  # a row per part
     sent = sent.join(load, ["shard", "part"]).withColumn("block", F.pmod(F.xxhash64("rep", F.lit(9)), "blocks").cast("int")).select("shard", "part", "block", "rep", "vec")
@@ -229,7 +348,7 @@ def query_index(index: DataFrame, parts: DataFrame, queries: DataFrame, width: i
         names = right["rep"].to_numpy()
         mine = left["rep"].to_numpy()
         asked = matrix(left["vec"].tolist(), width)
-        nodes = graph.search(asked, max(QUERY_BEAM, k + 8))[0][:, : k + 1]
+        nodes = graph.search(asked, max(QUERY_BEAM, 4 * k))[0][:, : k + 1]
         row, at = np.nonzero(nodes >= 0)
         other = names[nodes[row, at]]
         keep = other != mine[row]
@@ -248,24 +367,24 @@ def nearest(vectors: DataFrame, k: int = 5, width: int = 64, queries: DataFrame
     Equal cosines go to the smaller id; exact copies of a vector are its most similar ones.  Approximate:
     tests measure a recall of 0.9 at least against brute force.  No vectors, no rows.
     """
-    members, reps = folded(vectors)
-    members, reps = cut(members), cut(reps)
-    marks, shards = landmarks(reps, width)
-    index, parts = build_index(reps, width, marks, shards)
-    asked = reps if queries is None else reps.join(members.join(queries.select("vec_id"), "vec_id", "left_semi").select("rep").distinct(), "rep", "left_semi")
-    found = query_index(index, parts, asked, width, marks, shards, k, probes)
-    best = Window.partitionBy("rep").orderBy(F.desc("cosine"), F.asc("other"))
-    found = cut(found.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k).select("rep", "other", "cosine"))
-    # Copies: of every class the k + 1 smallest ids can be among anybody's best.
-    within = Window.partitionBy("rep").orderBy("vec_id")
-    few = members.withColumn("nth", F.row_number().over(within)).where(F.col("nth") <= k + 1)
-    ask = members if queries is None else members.join(queries.select("vec_id"), "vec_id", "left_semi")
-    several = few.groupBy("rep").agg(F.max("nth").alias("c")).where("c > 1").select("rep")
-    offers = found.select("rep", "other", "cosine").unionByName(several.selectExpr("rep", "rep as other", "1.0D as cosine"))
-    offers = offers.join(few.select(F.col("rep").alias("other"), F.col("vec_id").alias("other_id")), "other")
-    mine = Window.partitionBy("vec_id").orderBy(F.desc("cosine"), F.asc("other_id"))
-    named = ask.join(offers, "rep").where("vec_id <> other_id").withColumn("place", F.row_number().over(mine)).where(F.col("place") <= k)
-    return named.select("vec_id", "other_id", "cosine", "place")
+    with scratch(vectors.sparkSession) as keep:
+        members, reps = folded(vectors)
+        members, reps = cut(members), cut(reps)
+        shards, index, parts = build_index(reps, width)
+        asked = reps if queries is None else reps.join(members.join(queries.select("vec_id"), "vec_id", "left_semi").select("rep").distinct(), "rep", "left_semi")
+        found = query_index(index, send(asked, shards, parts, probes), width, k)
+        best = Window.partitionBy("rep").orderBy(F.desc("cosine"), F.asc("other"))
+        found = cut(found.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k).select("rep", "other", "cosine"))
+        # Copies: of every class the k + 1 smallest ids can be among anybody's best.
+        within = Window.partitionBy("rep").orderBy("vec_id")
+        few = members.withColumn("nth", F.row_number().over(within)).where(F.col("nth") <= k + 1)
+        ask = members if queries is None else members.join(queries.select("vec_id"), "vec_id", "left_semi")
+        several = few.groupBy("rep").agg(F.max("nth").alias("c")).where("c > 1").select("rep")
+        offers = found.select("rep", "other", "cosine").unionByName(several.selectExpr("rep", "rep as other", "1.0D as cosine"))
+        offers = offers.join(few.select(F.col("rep").alias("other"), F.col("vec_id").alias("other_id")), "other")
+        mine = Window.partitionBy("vec_id").orderBy(F.desc("cosine"), F.asc("other_id"))
+        named = ask.join(offers, "rep").where("vec_id <> other_id").withColumn("place", F.row_number().over(mine)).where(F.col("place") <= k)
+        return keep(named.select("vec_id", "other_id", "cosine", "place"))
 
 
 def close_pairs(found: DataFrame, least: float = 0.8) -> DataFrame:

@@ -190,3 +190,29 @@ def test_far_vectors_meet(spark, monkeypatch):
         found = [tuple(r) for r in clusters.far_links(far, 0.8, 64).collect()]
         assert len(found) == len(set(found)) and set(found) <= want and len(found) >= 0.995 * len(want)
         assert bucket < 10_000 or set(found) == want
+
+
+def test_shards_grow_in_number_and_not_in_size(spark, monkeypatch):
+    """With ten times the rows a query goes to no more shards, shards are no larger, and neighbours are found."""
+    monkeypatch.setattr(proximity, "LANDMARKS", 8)
+    monkeypatch.setattr(proximity, "SHARD", 60)
+    monkeypatch.setattr(proximity, "SAMPLE", 500)
+    copies = {}
+    for n in (600, 6_000):
+        rng = np.random.default_rng(9)
+        x = np.repeat(rng.standard_normal((n // 20, 64)), 20, axis=0) + 0.3 * rng.standard_normal((n, 64))
+        x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype("<f4")[rng.permutation(n)]
+        reps = spark.createDataFrame([(k, bytearray(v.tobytes())) for k, v in enumerate(x)], "rep long, vec binary")
+        shards, rows, sizes = proximity.make_shards(reps, 64)
+        assert rows.count() == n and rows.select("rep").distinct().count() == n
+        assert sizes.agg({"n": "max"}).first()[0] <= 2 * proximity.SHARD and bool(shards.levels)
+        parts = sizes.selectExpr("shard", "1 as parts")
+        sent = proximity.send(reps, shards, parts).select("rep", "shard", "part").collect()
+        assert len({r.rep for r in sent}) == n and len(sent) == len(set(sent))
+        copies[n] = len(sent) / n
+        found = proximity.nearest(reps.withColumnRenamed("rep", "vec_id"), 5).select("vec_id", "other_id").collect()
+        sims = x @ x.T
+        np.fill_diagonal(sims, -2)
+        want = {(i, int(j)) for i, b in enumerate(np.argpartition(-sims, 5, axis=1)[:, :5]) for j in b}
+        assert len({tuple(r) for r in found} & want) >= 0.9 * len(want)
+    assert max(copies.values()) <= proximity.PROBES / 2
