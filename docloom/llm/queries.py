@@ -59,12 +59,16 @@ def _title_and_text():
     return F.concat(F.coalesce("title", F.lit("")), F.lit(" "), F.coalesce("text", F.lit("")))
 
 
+def _near(spark: SparkSession, folder: str) -> near.NearDuplicates:
+    return near.near_duplicates(table(spark, folder, "procedure_documents"), "document_id", _title_and_text(), width=3, threshold=0.5, least_words=20)
+
+
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
-    return near.pairs(near.near_duplicates(table(spark, folder, "procedure_documents"), "document_id", _title_and_text(), width=3, threshold=0.5, least_words=20))
+    return near.pairs(_near(spark, folder))
 
 
 def p3_groups(spark: SparkSession, folder: str) -> DataFrame:
-    return near.groups(near.near_duplicates(table(spark, folder, "procedure_documents"), "document_id", _title_and_text()))
+    return near.groups(_near(spark, folder))
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:

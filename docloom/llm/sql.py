@@ -75,6 +75,10 @@ _CLOSE = f"{_USABLE}, sim AS (SELECT a.vec_id AS a, b.vec_id AS b, list_cosine_s
 _LABEL = r"regexp_replace(regexp_replace(lower(llm_relationship_type), '^\s+|\s+$', '', 'g'), '[\s_-]+', '_', 'g')"
 _RUN = "SELECT {0}, unnest(list_transform(range(1, len(w) - 11), lambda i: array_to_string(w[i:i + 12], ' '))) AS run FROM {1}"
 
+_NEAR = rf"""WITH d AS (SELECT document_id, {_WORDS.format(_entities("coalesce(title, '') || ' ' || coalesce(text, '')"))} AS w FROM procedure_documents),
+s AS (SELECT DISTINCT document_id, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS g FROM d WHERE len(w) >= 20), n AS (SELECT document_id, count(*) AS n FROM s GROUP BY 1), k AS (SELECT document_id, list_sort(list(g)) AS k FROM s GROUP BY 1),
+o AS (SELECT a.document_id AS document_id_1, b.document_id AS document_id_2, count(*) AS o FROM s a JOIN s b ON a.g = b.g AND a.document_id < b.document_id GROUP BY 1, 2),
+p AS (SELECT document_id_1, document_id_2 FROM o JOIN n x ON x.document_id = document_id_1 JOIN n y ON y.document_id = document_id_2 WHERE 2 * o >= x.n + y.n - o)"""
 _ROOT = r"lower(trim(regexp_extract(replace(url_decode(replace(path, '+', '%2B')), '\', '/'), '^(?:\s|/|\.+/)*([^/]*)', 1)))"
 
 SQL: dict[str, str] = {
@@ -84,10 +88,11 @@ s AS (SELECT document_id, loaded_at, nullif(words, 0) AS words, {_moment()} AS u
 f AS (SELECT group_id, document_id, 'text' AS field_name, cast(words AS BIGINT) AS score FROM m JOIN s USING (document_id) UNION ALL SELECT group_id, document_id, 'modified', CASE WHEN us >= epoch_us(TIMESTAMP '2000-01-01') AND us <= epoch_us(loaded_at) THEN us END FROM m JOIN s USING (document_id)
 UNION ALL SELECT group_id, document_id, 'path', -trust FROM m JOIN s USING (document_id))
 SELECT group_id, field_name, document_id FROM f WHERE score IS NOT NULL QUALIFY row_number() OVER (PARTITION BY group_id, field_name ORDER BY score DESC, document_id) = 1""",
-    "p3_found": rf"""WITH d AS (SELECT document_id, {_WORDS.format(_entities("coalesce(title, '') || ' ' || coalesce(text, '')"))} AS w FROM procedure_documents),
-s AS (SELECT DISTINCT document_id, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS g FROM d WHERE len(w) >= 20), n AS (SELECT document_id, count(*) AS n FROM s GROUP BY 1),
-o AS (SELECT a.document_id AS document_id_1, b.document_id AS document_id_2, count(*) AS o FROM s a JOIN s b ON a.g = b.g AND a.document_id < b.document_id GROUP BY 1, 2)
-SELECT document_id_1, document_id_2 FROM o JOIN n x ON x.document_id = document_id_1 JOIN n y ON y.document_id = document_id_2 WHERE 2 * o >= x.n + y.n - o""",
+    "p3_found": f"{_NEAR} SELECT document_id_1, document_id_2 FROM p",
+    "p3_groups": f"""WITH RECURSIVE {_NEAR.removeprefix("WITH ")}, e AS (SELECT document_id_1 AS a, document_id_2 AS b FROM p UNION ALL SELECT document_id_2, document_id_1 FROM p),
+reach(id, root) AS (SELECT DISTINCT document_id, document_id FROM s UNION SELECT b, root FROM reach JOIN e ON a = id), g AS (SELECT id, min(root) AS group_id FROM reach GROUP BY 1),
+same AS (SELECT a, count(*) AS copies FROM e JOIN k x ON x.document_id = a JOIN k y ON y.document_id = b WHERE x.k = y.k GROUP BY 1), every AS (SELECT a, count(*) AS c FROM e GROUP BY 1)
+SELECT id AS document_id, group_id, coalesce(copies, 0) AS copies, coalesce(c, 0) - coalesce(copies, 0) AS links FROM g LEFT JOIN same ON same.a = id LEFT JOIN every ON every.a = id""",
     "p4_found": f"""WITH RECURSIVE {_CLOSE}, near AS (SELECT a, b FROM sim WHERE s >= 0.8), reach(id, root) AS (SELECT vec_id, vec_id FROM ok UNION SELECT b, root FROM reach JOIN near ON a = id),
 g AS (SELECT id AS vec_id, min(root) AS cluster_key FROM reach GROUP BY 1) SELECT vec_id, cluster_key FROM g QUALIFY count(*) OVER (PARTITION BY cluster_key) >= 15""",
     "p5_found": f"""WITH RECURSIVE p AS (SELECT DISTINCT least(item1_id, item2_id) AS a, greatest(item1_id, item2_id) AS b FROM duplicate_pairs WHERE item1_id IS NOT NULL AND item2_id IS NOT NULL AND item1_id <> item2_id),
