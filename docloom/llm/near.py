@@ -49,7 +49,7 @@ def _words(text: Column) -> Column:
 
 def _sets(docs: DataFrame, id_column: str, text: Column, width: int, least_words: int) -> DataFrame:
     """(doc_id, s, n, k1, k2): sorted distinct 64-bit shingle numbers, how many, and two hashes of the set, a key of 128 bits."""
-    words = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.transform(_words(text), F.xxhash64).alias("w")).where(F.col("doc_id").isNotNull() & (F.size("w") >= max(least_words, width)))
+    words = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.transform(_words(text), lambda w: F.xxhash64(w)).alias("w")).where(F.col("doc_id").isNotNull() & (F.size("w") >= max(least_words, width)))
 
     def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
