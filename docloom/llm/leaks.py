@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docloom.llm.skeleton import plain_words
+from docloom.llm.skeleton import plain_words, word_tables
 from docloom.session import cut
 
 #: Item words up to which the items' dictionary is sent to the workers (about 100 bytes a word);
@@ -86,21 +86,28 @@ class ShingleIndex:
         return text, at - starts[text], code
 
 
-def _items(items: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    @F.pandas_udf("array<string>")
+def _split(tables):
+    """A text's words as a column, look-alikes aside."""
+
     def words(texts: pd.Series) -> pd.Series:
-        return texts.map(plain_words)
+        return texts.map(lambda t: plain_words(t, tables.value))
+
+    return F.pandas_udf(words, "array<string>")
 
+
+def _items(items: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    words = _split(word_tables(items.sparkSession))
     return items.select(F.col(id_column).cast("long").alias("item_id"), words(F.col(text_column)).alias("words")).where("item_id is not null").distinct()
 
 
 def _positions_local(docs: DataFrame, index: ShingleIndex) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(index)
+    tables = word_tables(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ours = sent.value
         for batch in batches:
-            texts = [plain_words(t) for t in batch.column(1).to_pylist()]
+            texts = [plain_words(t, tables.value) for t in batch.column(1).to_pylist()]
             text, position, shingle = ours.find(texts)
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             lengths = np.fromiter(map(len, texts), np.int32, len(texts))
@@ -139,11 +146,7 @@ def leaks(docs: DataFrame, items: DataFrame, run: int = 13, size: int = 5, id_co
         shingles = spark.createDataFrame(pd.DataFrame({"item_id": np.array(ids, np.int64)[text], "n_item": np.array([len(t) for t in texts], np.int32)[text], "position": position.astype(np.int32), "shingle": shingle}) if texts else [], "item_id long, n_item int, position int, shingle long")
         found = _positions_local(rows, index)
     else:
-        @F.pandas_udf("array<string>")
-        def split(texts: pd.Series) -> pd.Series:
-            return texts.map(plain_words)
-
-        spread = rows.select("doc_id", split("text").alias("words")).selectExpr("doc_id", "size(words) as n_words", _shingles("words", size))
+        spread = rows.select("doc_id", _split(word_tables(spark))("text").alias("words")).selectExpr("doc_id", "size(words) as n_words", _shingles("words", size))
         found = spread.join(shingles.select("shingle").distinct(), "shingle", "left_semi").select("doc_id", "position", "shingle", "n_words")
     found = cut(found.distinct())
 

@@ -3,6 +3,11 @@
 A text is decomposed canonically, every character is replaced by the prototype of its look-alike
 class, and the outcome is decomposed again.  Two texts that look the same have one skeleton.
 
+Prototypes of letters come from the Unicode table of confusables, which the ICU library among Spark's
+own jars carries: every letter and letter-like number outside ASCII that this table holds for the look
+of an ASCII letter is replaced by that letter, in its own case where there is a choice.  Widths, spaces,
+ligatures and what takes no room come from the character database.
+
 Kept apart on purpose, as the eye tells them apart: letter case, accents, digits against letters,
 superscripts against plain digits, the number of spaces, tabs and line breaks.
 """
@@ -17,12 +22,12 @@ from collections.abc import Iterator
 from functools import cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.session import cut
 
-# Letters of other scripts and the Latin letter each one looks like.
+# The commonest letters of other scripts and the Latin letter each one looks like; they stand whatever the table says.
 CYRILLIC = dict(zip("АВЕЅІЈКМНОРСТУХаеѕіјорсухһԁԛԝӏҮүҺԌԚԜ", "ABESIJKMHOPCTYXaesijopcyxhdqwlYyhGQW", strict=True))
 GREEK = dict(zip("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧαινορυ", "ABEZHIKMNOPTYXaivopu", strict=True))
 OTHER = dict(zip("ɑɡıՕօհսԼᎪᎬᎳ", "agiOohuLAEW", strict=True))
@@ -35,8 +40,8 @@ WORD = re.compile(r"[^\W_]+")
 
 
 @cache
-def prototypes() -> dict[int, str | None]:
-    """Code point -> prototype; None for what the eye does not see.  Built from the character database."""
+def common() -> dict[int, str | None]:
+    """Code point -> prototype without the table of confusables: from the character database and the commonest letters."""
     table: dict[int, str | None] = {}
     for code in range(0x80, sys.maxunicode + 1):
         c = chr(code)
@@ -54,35 +59,83 @@ def prototypes() -> dict[int, str | None]:
     return table
 
 
-@cache
-def caseless() -> dict[int, str]:
+_MADE: dict[str, dict[int, str | None]] = {}
+
+
+def prototypes(spark: SparkSession) -> dict[int, str | None]:
+    """Code point -> prototype; None for what the eye does not see.  Made once per application, on the driver."""
+    name = spark.sparkContext.applicationId
+    if name not in _MADE:
+        _MADE[name] = _confusable_letters(spark) | common()
+    return _MADE[name]
+
+
+def _confusable_letters(spark: SparkSession) -> dict[int, str]:
+    """Letters outside ASCII that look like an ASCII letter, by one call to the table for all letters."""
+    checker = getattr(spark._jvm.com.ibm.icu.text, "SpoofChecker$Builder")().build()
+    codes = [k for k in range(0x80, sys.maxunicode + 1) if unicodedata.category(chr(k)) in ("Lu", "Ll", "Lt", "Lo", "Nl")]
+    plain = [*map(chr, [*range(0x41, 0x5B), *range(0x61, 0x7B)])]
+    shapes = checker.getSkeleton("\n".join([*plain, *map(chr, codes)])).split("\n")
+    looks: dict[str, list[str]] = {}
+    for letter, shape in zip(plain, shapes, strict=False):
+        looks.setdefault(shape, []).append(letter)
+    out: dict[int, str] = {}
+    capitals: dict[str, int] = {}  # by script, how many more of its letters look like capitals than like small ones
+    for code, shape in zip(codes, shapes[len(plain) :], strict=True):
+        if len(looks.get(shape, ())) == 1:
+            script = unicodedata.name(chr(code), "").split(" ")[0]
+            capitals[script] = capitals.get(script, 0) + (1 if looks[shape][0].isupper() else -1)
+    for code, shape in zip(codes, shapes[len(plain) :], strict=True):
+        c = chr(code)
+        same = unicodedata.normalize("NFKC", c)
+        if same in plain and not unicodedata.decomposition(c).startswith(("<super>", "<sub>")):
+            out[code] = same  # a letter in another style
+        elif shape in looks and not unicodedata.decomposition(c).startswith(("<super>", "<sub>")):
+            upper = c.isupper() or not c.islower() and capitals.get(unicodedata.name(c, "").split(" ")[0], 0) > 0
+            out[code] = next((x for x in looks[shape] if x.isupper() == upper), looks[shape][0])
+    return out
+
+
+def caseless(table: dict[int, str | None]) -> dict[int, str]:
     """Small letters whose capitals look Latin, for comparisons that ignore case."""
-    return {ord(a.lower()): b.lower() for a, b in CYRILLIC.items() if a.lower() != a and ord(a.lower()) not in prototypes()}
+    lower = {ord(small): b.lower() for code, b in table.items() if b and b.isascii() and b.isalpha() and len(small := chr(code).lower()) == 1 and small != chr(code)}
+    return {code: b for code, b in lower.items() if code not in table}
 
 
-def skeleton(text: str) -> str:
+def skeleton(text: str, table: dict[int, str | None] | None = None) -> str:
     """The form under which texts that look the same are equal; ``''`` for empty text."""
     if text.isascii():
         return text
-    return unicodedata.normalize("NFD", unicodedata.normalize("NFD", text).translate(prototypes()))
+    return unicodedata.normalize("NFD", unicodedata.normalize("NFD", text).translate(common() if table is None else table))
+
 
+def plain_words(text: str | None, tables: tuple[dict[int, str | None], dict[int, str]] | None = None) -> list[str]:
+    """Words (runs of letters and digits) without regard to case, punctuation and look-alikes.
 
-def plain_words(text: str | None) -> list[str]:
-    """Words (runs of letters and digits) without regard to case, punctuation and look-alikes."""
+    ``tables`` are prototypes and the ``caseless`` letters made of them.
+    """
     if not text:
         return []
     if not text.isascii():
-        text = unicodedata.normalize("NFC", skeleton(text)).lower()
-        return WORD.findall(text if text.isascii() else text.translate(caseless()))
+        table, small = tables or (common(), _common_caseless())
+        text = unicodedata.normalize("NFC", skeleton(text, table)).lower()
+        return WORD.findall(text if text.isascii() else text.translate(small))
     return WORD.findall(text.lower())
 
 
-def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    short = lambda text: hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest()
-    for batch in batches:
-        ids, texts = batch.column(0), batch.column(1).to_pylist()
-        shapes = [short(skeleton(t or "")) for t in texts]
-        yield pa.RecordBatch.from_arrays([ids, pa.array(shapes, pa.binary()), pa.array([short(t or "") for t in texts], pa.binary())], ["doc_id", "shape", "stored"])
+@cache
+def _common_caseless() -> dict[int, str]:
+    return caseless(common())
+
+
+def word_tables(spark: SparkSession):
+    """The tables of ``plain_words``, sent to the workers: some ten thousand characters, whatever the data."""
+    table = prototypes(spark)
+    return spark.sparkContext.broadcast((table, caseless(table)))
+
+
+def _short(text: str) -> bytes:
+    return hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest()
 
 
 def skeleton_keys(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -92,7 +145,15 @@ def skeleton_keys(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     nothing could be said about them.  Other columns are ignored, whatever their names.
     """
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text")).where("doc_id is not null")
-    return rows.mapInArrow(_keys, "doc_id long, shape binary, stored binary")
+    sent = docs.sparkSession.sparkContext.broadcast(prototypes(docs.sparkSession))  # some ten thousand characters, whatever the data
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = sent.value
+        for batch in batches:
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_short(skeleton(t, table)) for t in texts], pa.binary()), pa.array([*map(_short, texts)], pa.binary())], ["doc_id", "shape", "stored"])
+
+    return rows.mapInArrow(keys, "doc_id long, shape binary, stored binary")
 
 
 def look_alike_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

@@ -35,3 +35,31 @@ def test_pairs_against_brute_force(spark):
 def test_empty_table(spark):
     assert look_alike_pairs(spark.createDataFrame([], KIND)).count() == 0
     assert look_alike_groups(spark.createDataFrame([], KIND)).count() == 0
+
+
+def test_standard_look_alikes_of_other_scripts(spark):
+    """A hundred letters that the Unicode table of confusables, and the eye, hold for a Latin one."""
+    from docloom.llm.skeleton import prototypes
+
+    table = prototypes(spark)
+    pairs = {
+        "Cyrillic": ("АВЕЅІЈКМНОРСТУХѴаеѕіјорсухѵһԁԛԝ", "ABESIJKMHOPCTYXVaesijopcyxvhdqw"),
+        "Greek": ("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹϺαινορυϲϳ", "ABEZHIKMNOPTYXCMaivopucj"),
+        "Armenian": ("ՍՏՕհոսօցզ", "USOhnuogq"),
+        "Lisu": ("ꓐꓓꓔꓖꓗꓙꓚꓜꓝꓟꓠꓡꓢꓣꓦꓧꓪꓫꓬꓮꓰꓲꓳꓴ", "BDTGKJCZFMNLSRVHWXYAEIOU"),
+        "Coptic": ("ⲞⲠ"[:1] + "ⲤⲦⲢⲔⲘⲚ", "OCTPKMN"),
+        "styles": ("Ⅰⅼ𝐀𝒃𝔠𝕕𝖾𝗳ℓ", "IlAbcdefl"),
+        "small": ("ᴏꜱᴄᴠᴡᴢ", "oscvwz"),
+    }
+    assert sum(len(a) for a, _ in pairs.values()) >= 100
+    for name, (others, plain) in pairs.items():
+        assert len(others) == len(plain), name
+        for a, b in zip(others, plain, strict=True):
+            assert skeleton(a, table) == b, (name, a, b)
+    for a, b in (("resume", "résumé"), ("O", "0"), ("l", "1"), ("Abc", "abc"), ("x2", "x²"), ("aª", "aa"), ("ß", "B"), ("œ", "oe"), ("ç", "c")):
+        assert skeleton(a, table) != skeleton(b, table), (a, b)
+
+
+def test_operators_use_the_whole_table(spark):
+    rows = [(1, "BOAT note", "x", 1), (2, "ꓐꓳꓮꓔ note", "x", 1), (3, "ⲂOAT note", "x", 1)]
+    assert (1, 2) in {tuple(r) for r in look_alike_pairs(spark.createDataFrame(rows, KIND)).collect()}
