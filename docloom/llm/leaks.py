@@ -121,16 +121,17 @@ def _shingles(words: str, size: int) -> str:
 
 
 def item_windows(items: DataFrame, run: int = 13, size: int = 5, id_column: str = "item_id", text_column: str = "text"):
-    """Items' words, with the shingles of each as (item_id, position, shingle text)."""
-    words = cut(_items(items, id_column, text_column))
-    return words, words.where(F.size("words") >= run).selectExpr("item_id", "size(words) as n_item", _shingles("words", size))
+    """Items' words, with the shingles of each as (item, item_id, n_item, position, shingle text); an item is one text of an id."""
+    words = cut(_items(items, id_column, text_column).withColumn("item", F.monotonically_increasing_id()))
+    return words, words.where(F.size("words") >= run).selectExpr("item", "item_id", "size(words) as n_item", _shingles("words", size))
 
 
 def leaks(docs: DataFrame, items: DataFrame, run: int = 13, size: int = 5, id_column: str = "doc_id", text_column: str = "text", item_id_column: str = "item_id", item_text_column: str = "text", local_item_words: int = LOCAL_ITEM_WORDS) -> DataFrame:
     """(doc_id, item_id): each document with ``run`` consecutive words of an item, once per item.
 
     Null and empty texts, on either side, leak nothing; rows with a null id are kept out; repeated
-    rows count once; other columns are ignored.  Whole texts are read.
+    rows count once, different texts under one item id each on their own; other columns are ignored.  Whole
+    texts are read.
     """
     if not 1 <= size <= run:
         raise ValueError("need 1 <= size <= run")
@@ -139,11 +140,11 @@ def leaks(docs: DataFrame, items: DataFrame, run: int = 13, size: int = 5, id_co
     words, shingles = item_windows(items, run, size, item_id_column, item_text_column)
     total = words.agg(F.coalesce(F.sum(F.size("words")), F.lit(0))).first()[0]
     if total <= local_item_words:
-        texts = [r.words for r in words.where(F.size("words") >= run).orderBy("item_id").collect()]  # bounded by local_item_words
-        ids = [r.item_id for r in words.where(F.size("words") >= run).orderBy("item_id").select("item_id").collect()]
+        held = words.where(F.size("words") >= run).orderBy("item").collect()  # bounded by local_item_words
+        texts, ids = [r.words for r in held], [r.item_id for r in held]
         index = ShingleIndex(texts, size)
         text, position, shingle = index.find(texts)
-        shingles = spark.createDataFrame(pd.DataFrame({"item_id": np.array(ids, np.int64)[text], "n_item": np.array([len(t) for t in texts], np.int32)[text], "position": position.astype(np.int32), "shingle": shingle}) if texts else [], "item_id long, n_item int, position int, shingle long")
+        shingles = spark.createDataFrame(pd.DataFrame({"item": text.astype(np.int64), "item_id": np.array(ids, np.int64)[text], "n_item": np.array([len(t) for t in texts], np.int32)[text], "position": position.astype(np.int32), "shingle": shingle}) if texts else [], "item long, item_id long, n_item int, position int, shingle long")
         found = _positions_local(rows, index)
     else:
         spread = rows.select("doc_id", _split(word_tables(spark))("text").alias("words")).selectExpr("doc_id", "size(words) as n_words", _shingles("words", size))
@@ -154,8 +155,8 @@ def leaks(docs: DataFrame, items: DataFrame, run: int = 13, size: int = 5, id_co
     counts = found.groupBy("shingle").agg(F.count_distinct("doc_id").alias("in_documents"))
     per_window = run - size + 1
     windows = shingles.where(f"position <= n_item - {size}").join(counts, "shingle")
-    windows = windows.selectExpr("item_id", "n_item", "position", "shingle", "in_documents", f"explode(sequence(greatest(0, position - {per_window - 1}), least(position, n_item - {run}))) as first")
-    windows = windows.groupBy("item_id", "first").agg(F.min(F.struct("in_documents", "shingle", "position")).alias("rarest"), F.count("*").alias("held"), F.collect_list(F.struct("position", "shingle")).alias("content"))  # at most run - size + 1 entries
+    windows = windows.selectExpr("item", "item_id", "n_item", "position", "shingle", "in_documents", f"explode(sequence(greatest(0, position - {per_window - 1}), least(position, n_item - {run}))) as first")
+    windows = windows.groupBy("item", "item_id", "first").agg(F.min(F.struct("in_documents", "shingle", "position")).alias("rarest"), F.count("*").alias("held"), F.collect_list(F.struct("position", "shingle")).alias("content"))  # at most run - size + 1 entries
     windows = windows.where(f"held = {per_window}").selectExpr("item_id", "first", "rarest.shingle as shingle", "rarest.position - first as offset", "transform(array_sort(content), c -> c.shingle) as content")
 
     # Equal windows of several items are looked for once.

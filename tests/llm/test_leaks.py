@@ -35,6 +35,7 @@ def fixture():
     docs += [(1000, None, 1, "x"), (1001, "", 1, "x"), (None, items[0][1], 1, "x"), (1002, " ".join(some(50_000)), 1, "x"), docs[0]]
     items += [(200, None, 1), (201, "", 1), (None, "a b c", 1), items[1], (202, items[2][1], 1), (203, "rep " * 30, 1)]
     docs.append((1004, "rep " * 14, 1, "x"))
+    items += [(206, items[k][1], 1) for k in range(10)]  # several texts under one id
     return docs, items
 
 
