@@ -12,13 +12,13 @@ import html
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-LANGUAGES = ("en", "fr", "es", "pt", "de")
 # Codes and names of the languages, as they are written in the five languages.
 NAMES = {
     "en": "en eng english anglais inglés ingles inglês englisch",
@@ -27,7 +27,7 @@ NAMES = {
     "pt": "pt por portuguese português portugues portugais portugués portugiesisch",
     "de": "de deu ger german deutsch allemand alemán aleman alemão alemao",
 }
-_ALIAS = {name: code for code, names in NAMES.items() for name in names.split()}
+LANGUAGES = tuple(NAMES)
 LINE_END = re.compile("\r\n|[\r\n\x85  ]")
 _WORD = re.compile(r"[^\W_]+")
 #: Labelled rows the network is fitted on at most, windows of one language at most, bytes of a window.
@@ -36,13 +36,18 @@ SAMPLE_ROWS, SAMPLE_WINDOWS, WINDOW = 6_000, 2_600, 96
 PRIOR = 1.5
 
 
-def named_language(label: str | None) -> str | None:
+@cache
+def _aliases(names: tuple[tuple[str, str], ...]) -> dict[str, str]:
+    return {name: code for code, every in names for name in every.split()}
+
+
+def named_language(label: str | None, names: dict[str, str] = NAMES) -> str | None:
     """The one language a label names by code or name, with or without country; None if none or several."""
     parts = [p for p in re.split(r"[,;/+&|]|\band\b|\bet\b", (label or "").strip().lower()) if p.strip()]
     if len(parts) != 1:
         return None
     words = re.findall(r"[^\W\d_]+", parts[0])
-    return _ALIAS.get(words[0]) if words else None
+    return _aliases(tuple(names.items())).get(words[0]) if words else None
 
 
 def lines_of(text: str | None) -> list[str]:
@@ -51,7 +56,8 @@ def lines_of(text: str | None) -> list[str]:
 
 
 def _bytes(line: str) -> np.ndarray:
-    return np.frombuffer(re.sub(r"\d", "0", line.lower()).encode("utf-8", "replace"), np.uint8)
+    """A line's bytes, blanks squeezed, letters small, digits alike."""
+    return np.frombuffer(re.sub(r"\d", "0", " ".join(line.lower().split())).encode("utf-8", "replace"), np.uint8)
 
 
 def windows(lines: list[str], width: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -74,14 +80,19 @@ def windows(lines: list[str], width: int = WINDOW) -> tuple[np.ndarray, np.ndarr
 
 @dataclass
 class ByteNetwork:
-    """Embedded bytes, filters of several widths, maximum over the window, softmax."""
+    """Embedded bytes, filters of several widths, maximum over the window, softmax over the languages ``codes``."""
 
     embed: int = 8
-    filters: int = 24
+    filters: int = 16
     widths: tuple[int, ...] = (2, 3, 4, 5)
-    classes: int = len(LANGUAGES)
+    codes: tuple[str, ...] = LANGUAGES
+    names: dict[str, str] = field(default_factory=lambda: NAMES)
     weights: dict[str, np.ndarray] = field(default_factory=dict)
 
+    @property
+    def classes(self) -> int:
+        return len(self.codes)
+
     def start(self, seed: int) -> None:
         rng = np.random.default_rng(seed)
         draw = lambda *shape, scale: (rng.standard_normal(shape) * scale).astype(np.float32)
@@ -156,9 +167,12 @@ class ByteNetwork:
         return self
 
 
-def fit_on(docs: DataFrame, text_column: str = "text", label_column: str = "language", id_column: str = "document_id", rows: int = SAMPLE_ROWS, per_language: int = SAMPLE_WINDOWS) -> ByteNetwork:
-    """A network fitted on at most ``rows`` rows whose label names a language, those of smallest hash."""
-    aliases = [*_ALIAS]
+def fit_on(docs: DataFrame, text_column: str = "text", label_column: str = "language", id_column: str = "document_id", rows: int = SAMPLE_ROWS, per_language: int = SAMPLE_WINDOWS, names: dict[str, str] = NAMES) -> ByteNetwork:
+    """A network fitted on at most ``rows`` rows whose label names a language, those of smallest hash.
+
+    ``names`` has the codes and names of each language; the network's languages are those that labels name.
+    """
+    aliases = [*_aliases(tuple(names.items()))]
     first = F.regexp_extract(F.lower(F.trim(label_column)), r"^(\p{L}+)", 1)
     labelled = docs.where(first.isin(aliases) & F.col(text_column).isNotNull()).select(F.col(id_column).cast("long").alias("i"), F.col(text_column).alias("t"), F.col(label_column).alias("l"))
     total = labelled.count()
@@ -166,34 +180,35 @@ def fit_on(docs: DataFrame, text_column: str = "text", label_column: str = "lang
     if total > 2 * rows:
         labelled = labelled.where(F.pmod(F.xxhash64("i", F.lit(21)), F.lit(1_000_003)) <= 1_000_003 * 2 * rows / total)
     drawn = labelled.orderBy(F.xxhash64("i", F.lit(22)), "i").limit(rows).collect()  # bounded by ``rows``
-    by: dict[str, list[np.ndarray]] = {code: [] for code in LANGUAGES}
-    have = dict.fromkeys(LANGUAGES, 0)
+    by: dict[str, list[np.ndarray]] = {code: [] for code in names}
+    have = dict.fromkeys(names, 0)
     for r in drawn:
-        code = named_language(r.l)
+        code = named_language(r.l, names)
         if code is None or have[code] >= per_language:
             continue
         x = windows(lines_of(r.t))[0]
         by[code].append(x)
         have[code] += len(x)
-    xs = [np.concatenate(by[code])[:per_language] if by[code] else np.zeros((0, WINDOW), np.uint8) for code in LANGUAGES]
+    codes = tuple(code for code in names if have[code]) or tuple(names)
+    xs = [np.concatenate(by[code])[:per_language] if by[code] else np.zeros((0, WINDOW), np.uint8) for code in codes]
     most = max(1, min(per_language, max(map(len, xs))))
     rng = np.random.default_rng(1)
     xs = [x if not len(x) or len(x) >= most else x[np.concatenate([np.arange(len(x)), rng.integers(0, len(x), min(most - len(x), 4 * len(x)))])] for x in xs]
     y = np.concatenate([np.full(len(x), k) for k, x in enumerate(xs)])
-    return ByteNetwork().fit(np.concatenate(xs), y)
+    return ByteNetwork(codes=codes, names=names).fit(np.concatenate(xs), y)
 
 
 def _judge(network: ByteNetwork, lines: list[str], owner: np.ndarray, documents: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Per line its language and confidence, per document its main one and confidence (-1: nothing to go by)."""
     x, line, new = windows(lines)
     logs = network.log_probabilities(x).astype(np.float64)
-    total = np.zeros((len(lines), len(LANGUAGES)))
+    total = np.zeros((len(lines), network.classes))
     np.add.at(total, line, logs * (np.maximum(new, 1) / WINDOW)[:, None])
     words = np.array([len(_WORD.findall(t)) for t in lines], float)
     letters = np.array([any(c.isalpha() for c in t) for t in lines], bool)
     share = np.exp(total - total.max(1, keepdims=True)) if len(total) else total
     share /= np.maximum(share.sum(1, keepdims=True), 1e-300)
-    votes = np.zeros((documents, len(LANGUAGES)))
+    votes = np.zeros((documents, network.classes))
     np.add.at(votes, (owner[letters], share[letters].argmax(1)), words[letters])
     weak = np.zeros_like(votes)
     np.add.at(weak, owner[letters], share[letters] * words[letters][:, None])
@@ -220,7 +235,7 @@ def languages(docs: DataFrame, network: ByteNetwork, id_column: str = "document_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ours = sent.value
-        codes = [*LANGUAGES, None]
+        codes = [*ours.codes, None]
         for whole in batches:
             for start in range(0, whole.num_rows, 500):
                 batch = whole.slice(start, 500)
@@ -228,7 +243,7 @@ def languages(docs: DataFrame, network: ByteNetwork, id_column: str = "document_
                 owner = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
                 lines = [x for t in texts for x in t]
                 found, sure, main, trust = _judge(ours, lines, owner, len(texts))
-                named = [named_language(x) for x in batch.column(2).to_pylist()]
+                named = [named_language(x, ours.names) for x in batch.column(2).to_pylist()]
                 number = np.concatenate([np.arange(1, len(t) + 1) for t in texts] or [np.empty(0)])
                 some = np.array([k for k, t in enumerate(texts) if t], np.int64)
                 ids = batch.column(0).to_numpy(zero_copy_only=False)

@@ -70,3 +70,12 @@ def test_empty(spark, fitted):
     none = spark.createDataFrame([], KIND)
     assert L.languages(none, fitted).count() == 0
     assert L.languages(none, L.fit_on(none)).count() == 0
+
+
+def test_languages_are_those_the_labels_name(spark):
+    names = {"fr": L.NAMES["fr"], "de": L.NAMES["de"], "it": "it ita italian italiano"}
+    rows = [(k * 10 + c, "\n".join(lines(code, 6, k)), label, 1, "x") for k in range(8) for c, (code, label) in enumerate((("fr", "fr"), ("de", "italiano")))]
+    network = L.fit_on(spark.createDataFrame(rows, KIND), names=names)
+    assert network.codes == ("fr", "it")
+    found = L.corrections(L.languages(spark.createDataFrame([(1, "\n".join(lines("de", 4, 9)), "fr", 1, "x")], KIND), network)).collect()
+    assert [tuple(r) for r in found] == [(1, 0, "it")]
