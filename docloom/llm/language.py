@@ -55,27 +55,37 @@ def lines_of(text: str | None) -> list[str]:
     return [line for line in (html.unescape(x) for x in LINE_END.split(text or "")) if line.strip()]
 
 
-def _bytes(line: str) -> np.ndarray:
+_DIGITS = bytes(ord("0") if chr(k).isdigit() and k < 128 else k for k in range(256))
+
+
+def _bytes(line: str) -> bytes:
     """A line's bytes, blanks squeezed, letters small, digits alike."""
-    return np.frombuffer(re.sub(r"\d", "0", " ".join(line.lower().split())).encode("utf-8", "replace"), np.uint8)
+    return " ".join(line.lower().split()).encode("utf-8", "replace").translate(_DIGITS)
 
 
 def windows(lines: list[str], width: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """All bytes of all lines in windows (padded with 0), each window's line, and how many new bytes it has."""
-    parts, line, new = [], [], []
-    for k, text in enumerate(lines):
-        b = _bytes(text)
-        starts = range(0, max(1, len(b)), width)
-        for s in starts:
-            at = max(0, min(s, len(b) - width))
-            row = np.zeros(width, np.uint8)
-            row[: len(b) - at] = b[at : at + width]
-            parts.append(row)
-            line.append(k)
-            new.append(min(width, len(b) - s))
-    if not parts:
-        return np.zeros((0, width), np.uint8), np.zeros(0, np.int64), np.zeros(0)
-    return np.stack(parts), np.array(line), np.array(new, float)
+    parts = [*map(_bytes, lines)]
+    flat = np.frombuffer(b"".join(parts) + bytes(width), np.uint8)
+    size = np.array([*map(len, parts)], np.int64)
+    count = np.maximum(1, -(-size // width))
+    line = np.repeat(np.arange(len(parts)), count)
+    start = (np.arange(len(line)) - np.repeat(np.cumsum(count) - count, count)) * width
+    at = np.maximum(0, np.minimum(start, size[line] - width))
+    place = at[:, None] + np.arange(width)
+    rows = np.where(place < size[line, None], flat[np.minimum((np.cumsum(size) - size)[line, None] + place, len(flat) - 1)], 0).astype(np.uint8)
+    return rows, line, np.minimum(width, size[line] - start).astype(float)
+
+
+def _highest(r: np.ndarray) -> np.ndarray:
+    """The maximum over the second axis, by halves: long contiguous runs instead of many short ones."""
+    while (n := r.shape[1]) > 1:
+        half = n // 2
+        top = np.maximum(r[:, :half], r[:, half : 2 * half])
+        if n % 2:
+            np.maximum(top[:, :1], r[:, -1:], out=top[:, :1])
+        r = top
+    return r[:, 0]
 
 
 @dataclass
@@ -110,7 +120,7 @@ class ByteNetwork:
             r = r.reshape(len(x), n, self.filters)
             if places:
                 at.append(r.argmax(1))
-            out.append(np.maximum(r.max(1) + self.weights[f"b{w}"], 0))
+            out.append(np.maximum(_highest(r) + self.weights[f"b{w}"], 0))
         return np.hstack(out), at
 
     def log_probabilities(self, x: np.ndarray, batch: int = 256) -> np.ndarray:
