@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.functions import text as X
+from docloom.operators import syntax as S
 
 # The phrases that are recognised.
 TRIGGER = (
@@ -197,10 +198,10 @@ def clean_mapping(found: DataFrame) -> DataFrame:
 def highlights(found: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, sentence_index, segment, start, end, type, text): each sentence in runs of one highlight.
 
+    Roles are those of the event's own frame elements, as ``with_frames`` gives them: none without registry.
     Ranges are painted by priority, per character the highest wins; ``type`` is null where none is.
     """
-    elements = frame_elements()
-    part = lambda *names: F.coalesce(*[F.try_element_at(elements, F.lit(n))["text"] for n in names])
+    part = lambda *names: F.coalesce(*[F.try_element_at("frame_elements", F.lit(n))["text"] for n in names])
     low = F.lower(F.col("sentence"))
 
     def span(value: Column, kind: str, priority: int, last: bool = False) -> Column:
@@ -230,7 +231,16 @@ def evidence_rows(found: DataFrame, key: str = "doc_id") -> DataFrame:
     return found.select(key, "sentence_index", "event_type", F.explode(roles).alias("r")).select(key, "sentence_index", "event_type", "r.role", "r.how.method", "r.how.relation")
 
 
-def map_text(docs: DataFrame, key: str = "doc_id", text: str = "text", frames: DataFrame | None = None) -> DataFrame:
-    """Documents to events: lines cleaned, sentences split, events found, frames validated."""
+def map_text(docs: DataFrame, key: str = "doc_id", text: str = "text", frames: DataFrame | None = None, parser: S.Parser | None = None) -> DataFrame:
+    """Documents to events: lines cleaned, sentences split, events found, frames validated.
+
+    With a ``parser`` roles come from its parse of the sentences that have a trigger, and from the rules
+    where it finds none.
+    """
     cleaned = docs.select(key, X.clean_lines(text).alias("_text"))
-    return with_frames(events(X.sentences(cleaned, [key], "_text"), key), frames)
+    sentences = X.sentences(cleaned, [key], "_text")
+    if parser is None:
+        return with_frames(events(sentences, key), frames)
+    sentences = sentences.withColumn("_t", trigger(F.col("sentence"))).where("_t is not null")
+    parsed = sentences.withColumn("syntax", S.roles_column(F.col("sentence"), F.col("_t.start"), F.col("_t.end"), parser)).drop("_t")
+    return with_frames(events(parsed, key, "syntax"), frames)

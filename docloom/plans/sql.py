@@ -127,7 +127,7 @@ cast(coalesce(sum(cast(cross_encoder_passed AS INTEGER)), 0) AS BIGINT) AS cross
     "path_parts": f"SELECT document_id, CASE WHEN path IS NULL THEN '' WHEN len(string_split(path, '/')) > 2 THEN string_split(path, '/')[2] ELSE '' END AS type_of_path, {_stem('path')} AS stem FROM procedure_documents",
     "title_chain": f"SELECT document_id, coalesce(nullif({_squeeze('coalesce(title, {0})'.format(_q('')))}, ''), nullif({_stem('path')}, ''), 'untitled') AS title FROM procedure_documents",
     "pair_endpoints": "SELECT pair_id, item1_id, item2_id, a.title AS item1_title, b.title AS item2_title, a.document_type AS item1_doc_type, b.document_type AS item2_doc_type FROM duplicate_pairs JOIN procedure_documents a ON a.document_id = item1_id JOIN procedure_documents b ON b.document_id = item2_id",
-    "rerank_skip": "SELECT pair_id, round(similarity, 6) AS cross_encoder_similarity_value, similarity >= 0.95 AS cross_encoder_passed FROM duplicate_pairs WHERE similarity IS NOT NULL AND NOT isnan(similarity)",
+    "rerank_skip": "SELECT pair_id, round(similarity, 6) AS cross_encoder_similarity_value, true AS cross_encoder_passed FROM duplicate_pairs WHERE similarity IS NOT NULL AND NOT isnan(similarity)",
     "passed_pairs": "SELECT pair_id, item1_type, cross_encoder_similarity_value FROM duplicate_pairs WHERE item1_type IN ('task', 'activity') AND item2_type IN ('task', 'activity') AND item1_type = item2_type AND cross_encoder_similarity_value > 0.5",
     "top_pairs": "SELECT DISTINCT item1_id, item2_id, similarity, cross_encoder_similarity_value FROM duplicate_pairs WHERE NOT isnan(similarity) AND NOT isnan(cross_encoder_similarity_value) ORDER BY cross_encoder_similarity_value DESC, similarity DESC, item1_id NULLS FIRST, item2_id NULLS FIRST LIMIT 100",
     "unordered_pairs": "SELECT least(item1_id, item2_id) AS a, greatest(item1_id, item2_id) AS b, count(*) AS n FROM duplicate_pairs WHERE item1_id IS NOT NULL AND item2_id IS NOT NULL GROUP BY 1, 2",
