@@ -16,6 +16,8 @@ from docloom.functions import text as X
 
 REQUIRED = ("item1_path", "item2_path", "item1_type", "item2_type", "item1_title", "item2_title", "llm_relationship_type")
 KEYS = ("relationship", "source_node", "target_node")
+#: Relationships a viewer can have toggles for.
+MOST_TOGGLES = 10_000
 _SIDES = ("id", "path", "title", "summary", "text")
 
 
@@ -220,8 +222,13 @@ def relationship_order(links_: DataFrame) -> DataFrame:
 
 def visibility(links_: DataFrame) -> DataFrame:
     """(toggle, relationship, source_node, target_node, visible): which links each toggle shows."""
-    toggles = F.broadcast(links_.select(F.col("relationship").alias("toggle")).distinct())  # as many rows as relationship names
-    return links_.join(toggles, F.lit(True)).select("toggle", *KEYS, (F.col("relationship") == F.col("toggle")).alias("visible"))
+    # Names may be free text of a model, so their list travels as one array and only if it is short.
+    names = links_.select("relationship").distinct()
+    if names.limit(MOST_TOGGLES + 1).count() > MOST_TOGGLES:
+        raise ValueError(f"more than {MOST_TOGGLES} relationships to toggle")
+    toggles = names.agg(F.array_sort(F.collect_set("relationship")).alias("toggles"))
+    every = links_.join(F.broadcast(toggles)).select(*KEYS, F.explode("toggles").alias("toggle"))  # one row
+    return every.select("toggle", *KEYS, (F.col("relationship") == F.col("toggle")).alias("visible"))
 
 
 def totals_line(links_: DataFrame) -> DataFrame:
@@ -231,11 +238,13 @@ def totals_line(links_: DataFrame) -> DataFrame:
 def diff_records(links_: DataFrame) -> DataFrame:
     """A record per link, heaviest first, with both texts clipped: what a viewer needs to compare them."""
     order = Window.orderBy(F.desc("weight"), F.desc("avg_weight"), *KEYS)
+    ranked = links_.select(*KEYS, "weight", "avg_weight").select(*KEYS, F.row_number().over(order).alias("_rank"))  # keys only: texts stay where they are
+    links_ = links_.join(ranked, [*KEYS])
     a, b = X.clipped("source_text"), X.clipped("target_text")
     title = lambda side: F.coalesce(F.nullif(X.compact(f"{side}_title"), F.lit("")), F.col(f"{side}_node"))
     text = lambda c, name: X.json_text(c).alias(name)
     return links_.select(
-        F.concat(F.lit("pair-"), F.row_number().over(order)).alias("id"),
+        F.concat(F.lit("pair-"), F.col("_rank")).alias("id"),
         F.concat(title("source"), F.lit(" ↔ "), title("target")).alias("label"),
         text("relationship", "relationship"), F.col("weight"), F.col("avg_weight").alias("avgWeight"), F.col("pair_count").alias("pairCount"),
         text("source_node", "sourceNode"), text("target_node", "targetNode"), text("source_id", "sourceId"), text("target_id", "targetId"),

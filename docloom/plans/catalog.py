@@ -3,17 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.functions import abbreviations, diff, vectorize
+from docloom.functions import abbreviations, diff, encode, vectorize
 from docloom.functions import text as X
-from docloom.operators import analysis, density, events, graph, nested, relate, similarity
+from docloom.operators import analysis, density, events, frames, graph, nested, relate, similarity
 from docloom.plans import fixtures, pipeline
 from docloom.plans.sql import SQL
+from docloom.session import cut, shared_dir
 from docloom.sources import documents as sources
+from docloom.sources import sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -24,16 +25,6 @@ def query(f: Query) -> Query:
     return f
 
 
-def also_whole(**limits) -> Callable[[Callable], Callable]:
-    """Registers a query under its name with the limits of its SQL, and as NAME_whole with the feature's own."""
-
-    def register(f: Callable) -> Callable:
-        QUERIES[f.__name__], QUERIES[f"{f.__name__}_whole"] = f, partial(f, **limits)
-        return f
-
-    return register
-
-
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
@@ -56,7 +47,7 @@ def p6_nodes(spark, folder):
 @query
 def p6_links_in_sections(spark, folder):
     """Links at any depth below top-level sections, found by interval containment of two type tables."""
-    tables = nested.type_tables(nested.node_table(table(spark, folder, "procedure_raw")))
+    tables = nested.type_tables(cut(nested.node_table(table(spark, folder, "procedure_raw"))))  # every body is parsed once
     return nested.contained(tables["sections"], tables["links"])
 
 
@@ -89,8 +80,8 @@ def tfidf_vocab(spark, folder):
     return vectorize.vocabulary(vectorize.term_frequencies(docs, "doc_id", F.col("text")), docs.count())
 
 
-@also_whole(max_features=50_000)
-def tfidf_vocab_bigrams(spark, folder, max_features=5_000):
+@query
+def tfidf_vocab_bigrams(spark, folder, max_features=50_000):
     docs = _docs(spark, folder)
     tf = vectorize.term_frequencies(docs, "doc_id", F.col("text"), stop_words=vectorize.STOP_WORDS, bigrams=True)
     return vectorize.vocabulary(tf, docs.count(), max_features=max_features)
@@ -182,16 +173,16 @@ def unordered_pairs(spark, folder):
     return pairs.groupBy(F.least("item1_id", "item2_id").alias("a"), F.greatest("item1_id", "item2_id").alias("b")).agg(F.count("*").alias("n"))
 
 
-@also_whole(top=500)
-def label_status(spark, folder, top=200):
+@query
+def label_status(spark, folder, top=500):
     """Labels of TF-IDF pairs without a model: heuristics, and why no model was asked."""
     docs, found = _tfidf_pairs(spark, folder, top)
     pairs = similarity.candidate_pairs(found, docs, "doc_id", {"text": "text"}, top)
     return relate.label(pairs).select("item1_id", "item2_id", "heuristic_relationship_type", "llm_relationship_type", "llm_analysis")
 
 
-@also_whole(length=2_500)
-def model_texts(spark, folder, length=200):
+@query
+def model_texts(spark, folder, length=2_500):
     return table(spark, folder, "procedure_documents").select("document_id", F.col("title").alias("item1_title"), F.col("summary").alias("item1_summary"), F.col("text").alias("item1_text")).select("document_id", relate.model_text(1, length).alias("model_text"))
 
 
@@ -272,16 +263,10 @@ def _links(spark, folder, level="title"):
     return graph.links(graph.labelled_pairs(pairs, level, "cross_encoder_similarity_value"))
 
 
-#: Nodes, links and least weight of the filtered graph: those that the SQL has, and the feature's own.
-SMALL, WHOLE = (12, 40, 0.5), (64, 450, 0.0)
-
-
-def _small(spark, folder, limits):
+def _filtered(spark, folder):
     """The filtered graph that layouts are made of, cut once."""
-    from docloom.session import cut
-
     every = cut(_links(spark, folder))
-    made = graph.filter_graph(every, graph.node_totals(every), *limits)
+    made = graph.filter_graph(every, graph.node_totals(every))
     return cut(made.links), cut(made.totals), made
 
 
@@ -300,19 +285,19 @@ def graph_nodes(spark, folder):
     return graph.node_totals(_links(spark, folder)).select("node", r6("total"))
 
 
-@also_whole(limits=WHOLE)
-def graph_filtered(spark, folder, limits=SMALL):
-    return _small(spark, folder, limits)[0].select("relationship", "source_node", "target_node", r6("weight"), "pair_count")
+@query
+def graph_filtered(spark, folder):
+    return _filtered(spark, folder)[0].select("relationship", "source_node", "target_node", r6("weight"), "pair_count")
 
 
-@also_whole(limits=WHOLE)
-def graph_filtered_nodes(spark, folder, limits=SMALL):
-    return _small(spark, folder, limits)[1].select("node", r6("total"))
+@query
+def graph_filtered_nodes(spark, folder):
+    return _filtered(spark, folder)[1].select("node", r6("total"))
 
 
-@also_whole(limits=WHOLE)
-def graph_counts(spark, folder, limits=SMALL):
-    links, totals, made = _small(spark, folder, limits)
+@query
+def graph_counts(spark, folder):
+    links, totals, made = _filtered(spark, folder)
     return graph.totals_line(links).select("links", "pairs", r6("weight"), F.lit(made.all_nodes).alias("all_nodes"), F.lit(made.all_links).alias("all_links"))
 
 
@@ -321,31 +306,31 @@ def graph_summary(spark, folder):
     return graph.relationship_summary(_links(spark, folder)).select("relationship", "links", "pairs", r6("weight"))
 
 
-@also_whole(limits=WHOLE)
-def graph_arcs(spark, folder, limits=SMALL):
-    arcs = graph.arcs(_small(spark, folder, limits)[1])
+@query
+def graph_arcs(spark, folder):
+    arcs = graph.arcs(_filtered(spark, folder)[1])
     return arcs.select("node", *[r6(c) for c in ("total", "share_of_largest", "start", "end", "mid")], F.round(graph.label_rotation(F.col("mid")), 5).alias("rotation"))
 
 
-@also_whole(limits=WHOLE)
-def graph_ports(spark, folder, limits=SMALL):
-    links, totals, _ = _small(spark, folder, limits)
+@query
+def graph_ports(spark, folder):
+    links, totals, _ = _filtered(spark, folder)
     return graph.ports(links, graph.arcs(totals)).select("relationship", "source_node", "target_node", "side", "node", r6("angle"))
 
 
-@also_whole(limits=WHOLE)
-def graph_widths(spark, folder, limits=SMALL):
-    return graph.widths(_small(spark, folder, limits)[0]).select("relationship", "source_node", "target_node", r6("width"))
+@query
+def graph_widths(spark, folder):
+    return graph.widths(_filtered(spark, folder)[0]).select("relationship", "source_node", "target_node", r6("width"))
 
 
 @query
 def graph_curves(spark, folder):
-    """The first, middle and last point of every chord."""
-    links, totals, _ = _small(spark, folder, WHOLE)
+    """The first, a middle and the last point of every chord."""
+    links, totals, _ = _filtered(spark, folder)
     p = graph.ports(links, graph.arcs(totals))
     at = p.groupBy(*graph.KEYS).agg(F.max(F.when(F.col("side") == "source", F.col("angle"))).alias("a"), F.max(F.when(F.col("side") == "target", F.col("angle"))).alias("b"))
     c = at.withColumn("c", graph.chord(F.col("a"), F.col("b"), F.col("source_node") == F.col("target_node")))
-    return c.select(*graph.KEYS, F.size("c").alias("points"), F.round(F.col("c")[0]["x"], 5).alias("x0"), F.round(F.element_at("c", -1)["y"], 5).alias("y1"))
+    return c.select(*graph.KEYS, F.size("c").alias("points"), F.round(F.col("c")[0]["x"], 5).alias("x0"), F.round(F.col("c")[24]["x"], 5).alias("x24"), F.round(F.col("c")[24]["y"], 5).alias("y24"), F.round(F.element_at("c", -1)["y"], 5).alias("y1"))
 
 
 @query
@@ -353,20 +338,20 @@ def graph_relationship_order(spark, folder):
     return graph.relationship_order(_links(spark, folder))
 
 
-@also_whole(limits=WHOLE)
-def graph_visibility(spark, folder, limits=SMALL):
-    return graph.visibility(_small(spark, folder, limits)[0])
+@query
+def graph_visibility(spark, folder):
+    return graph.visibility(_filtered(spark, folder)[0])
 
 
-@also_whole(limits=WHOLE)
-def graph_diff_records(spark, folder, limits=SMALL):
-    links, _, _ = _small(spark, folder, limits)
+@query
+def graph_diff_records(spark, folder):
+    links, _, _ = _filtered(spark, folder)
     return graph.diff_records(links).select("id", "label", "relationship", r6("weight"), "pairCount", "sourceId", "targetId", "sourceTitle", "targetTitle", "sourceTruncated")
 
 
 @query
 def graph_search(spark, folder):
-    links, _, _ = _small(spark, folder, WHOLE)
+    links, _, _ = _filtered(spark, folder)
     return graph.search(graph.diff_records(links), " Partial ").select("id", "relationship")
 
 
@@ -391,8 +376,8 @@ def sentences(spark, folder):
     return X.sentences(table(spark, folder, "documents"), ["doc_id"], "text")
 
 
-@also_whole(length=20_000)
-def text_previews(spark, folder, length=500):
+@query
+def text_previews(spark, folder, length=20_000):
     c = X.clipped("text", length)
     return table(spark, folder, "documents").select("doc_id", X.preview("text").alias("preview"), X.html_lines("text").alias("html"), c["text"].alias("clipped"), c["truncated"].alias("truncated"))
 
@@ -480,3 +465,106 @@ def events_evidence(spark, folder):
 def events_in_documents(spark, folder):
     """Events over the whole documents table, by type and polarity."""
     return events.map_text(table(spark, folder, "documents")).groupBy("event_type", "polarity").agg(F.count("*").alias("n"), F.count("penalty_code").alias("with_code"))
+
+
+@query
+def condition_expressions(spark, folder):
+    return fixtures.table(spark, fixtures.CONDITIONS, "id int, text string").withColumn("c", events.condition(F.col("text"))).select("id", "c.*")
+
+
+@query
+def events_roles(spark, folder):
+    """Roles read off a dependency parse, and how each was found."""
+    docs = fixtures.table(spark, [*enumerate(fixtures.PARSED)], "doc_id int, text string")
+    found = events.map_text(docs, parser=fixtures.parser)
+    return found.select("doc_id", "event_type", "agent", "evaluee", F.col("rule_condition.text").alias("condition"), "time_text", F.col("evidence.Agent.relation").alias("agent_relation"), F.col("evidence.Evaluee.relation").alias("evaluee_relation"), F.col("evidence.Condition.relation").alias("condition_relation"), F.col("evidence.Time.relation").alias("time_relation"))
+
+
+@query
+def frame_summaries(spark, folder):
+    f = lambda rows, kind: fixtures.table(spark, rows, kind)
+    made = frames.summaries(f(fixtures.DEFINITIONS, "name string, id long, definition string"), f(fixtures.ELEMENTS, "frame string, id long, name string, core_type string, definition string"), f(fixtures.UNITS, "frame string, name string").withColumnRenamed("name", "name"), f(fixtures.RELATIONS, "frame string, relation string"))
+    listed = lambda c: F.array_join(c, "|")
+    core = F.array_join(F.array_sort(F.transform(F.map_entries("frame_elements"), lambda e: F.concat_ws(":", e["key"], e["value"]["core_type"], F.coalesce(e["value"]["definition"], F.lit(""))))), "|")
+    return made.select("name", "id", "definition", core.alias("elements"), listed("lexical_units").alias("lexical_units"), listed("relations").alias("relations"))
+
+
+@query
+def frame_exemplars(spark, folder):
+    return frames.exemplars(fixtures.table(spark, fixtures.EXAMPLES, "frame string, lexical_unit string, lexical_unit_id long, sentence_id long, text string")).select("frame", "lexical_unit", "sentence_id", "text", "place")
+
+
+@query
+def frame_exemplars_by_unit(spark, folder):
+    return frames.exemplars(fixtures.table(spark, fixtures.EXAMPLES, "frame string, lexical_unit string, lexical_unit_id long, sentence_id long, text string"), by_unit=True).select("frame", "lexical_unit", "sentence_id", "text", "place")
+
+
+@query
+def encoded_texts(spark, folder):
+    """Vectors of all texts by an injected encoder, a row per number that is not zero."""
+    made = table(spark, folder, "documents").select("doc_id", encode.encode(F.col("text"), encode.letter_shares).alias("v"))
+    return made.select("doc_id", F.posexplode("v").alias("place", "x")).where("x <> 0").select("doc_id", "place", F.round(F.col("x").cast("double"), 4).alias("x"))
+
+
+# Sources and sinks, over files written from the tables.
+def _folder(spark, name):
+    import uuid
+
+    return f"{shared_dir(spark)}/docloom-{name}-{uuid.uuid4().hex}"
+
+
+@query
+def csv_round_trip(spark, folder):
+    """Pairs written as CSV and read again, required columns checked."""
+    kept = table(spark, folder, "llm_analyzed_duplicates").select("item1_id", "item2_id", "item1_title", "item2_path", "llm_relationship_type", "llm_analysis")
+    sinks.csv_folder(kept, path := _folder(spark, "csv"))
+    back = sources.csv(spark, path, ("item1_id", "item2_id"), schema="item1_id long, item2_id long, item1_title string, item2_path string, llm_relationship_type string, llm_analysis string")
+    return back.select("item1_id", "item2_id", *[F.coalesce(c, F.lit("")).alias(c) for c in back.columns[2:]])
+
+
+@query
+def verses_read(spark, folder):
+    """Verse files of JSON, one per source, keys parsed to book, chapter and verse."""
+    rows = table(spark, folder, "aggregated_vectors").where("source is not null and book is not null and chapter is not null and verse_number is not null and text is not null").where(F.col("book").rlike("^[a-zA-Z ]+$"))
+    keyed = rows.groupBy("source", "book", "chapter", "verse_number").agg(F.min("text").alias("text"))
+    entry = F.struct(F.concat_ws("", F.col("book"), F.lit(" "), F.col("chapter"), F.lit(":"), F.col("verse_number")).alias("key"), F.col("text").alias("value"))
+    files = keyed.groupBy("source").agg(F.to_json(F.map_from_entries(F.collect_list(entry))).alias("value"))  # a file holds a source's own verses
+    files.write.partitionBy("source").text(path := _folder(spark, "verses"))
+    return sources.verse_files(spark, path).select("book", "chapter", "verse_number", "text")
+
+
+@query
+def zip_documents(spark, folder):
+    """Documents of a zip of JSON files, one for every body that is a whole object."""
+    import io
+    import json
+    import zipfile
+
+    bodies = table(spark, folder, "procedure_raw").where("path is not null and body is not null")
+
+    def pack(rows):
+        import pandas as pd
+
+        from docloom.operators.nested import whole_object
+
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w") as archive:
+            for i, p, b in sorted(rows[["raw_id", "path", "body"]].itertuples(index=False)):
+                if (record := whole_object(b)) is not None:
+                    archive.writestr(f"zip/{p.replace(chr(92), '/').strip('/. ')}/{i}.json", json.dumps(record, ensure_ascii=False).encode("utf-8", "replace"))
+        return pd.DataFrame({"content": [out.getvalue()]})
+
+    packed = bodies.withColumn("_p", F.pmod(F.xxhash64("raw_id"), F.lit(8))).groupBy("_p").applyInPandas(pack, "content binary")
+    path = _folder(spark, "zips")
+    packed.write.parquet(path)
+    return sources.zipped_documents(spark.read.parquet(path).select("content"))
+
+
+@query
+def uploads_read(spark, folder):
+    """Every text sent as a file of one of the supported kinds, or an unsupported one."""
+    docs = table(spark, folder, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("t"))
+    kind = F.element_at(F.array(*map(F.lit, ("txt", "md", "json", "pdf"))), F.pmod(F.col("doc_id"), F.lit(4)).cast("int") + 1)
+    content = F.when(kind == "json", F.to_json(F.struct(F.col("t").alias("text")))).otherwise(F.col("t"))
+    requests = docs.select("doc_id", F.concat(F.lit("a."), kind).alias("filename"), F.lit(None).cast("string").alias("text"), F.base64(content.cast("binary")).alias("contentBase64"))
+    return sources.uploads(requests).select("doc_id", F.length("document_text").alias("characters"), "error")

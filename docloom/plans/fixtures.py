@@ -29,6 +29,10 @@ REPLIES = [
     (5, '["semantically_identical"]'),
 ]
 VERSES = [(1, "1 Samuel 3:4"), (2, "Song of Songs 1:12"), (3, "Preface"), (4, "Genesis 50:26 a"), (5, None)]
+CONDITIONS = [
+    (1, " the worker has fewer than 300 insurable hours,"), (2, "hours were not accumulated at least 12 insurable hours"), (3, "the file starts between w/c 15 and w/c  40"),
+    (4, "the letter is late"), (5, None), (6, "BETWEEN W/C 1 AND W/C 2, fewer than 5 insurable hours"),
+]
 FRAMES = [
     ("Rewards_and_punishments", 1, ["Agent", "Evaluee", "Response_action", "Reason", "Time"], ["penalty.n", "punish.v", "discipline.v"]),
     ("Activity_stop", 2, ["Agent", "Activity", "Explanation", "Time"], ["terminate.v", "stop.v"]),
@@ -76,5 +80,6 @@ def table(spark: SparkSession, rows: list, schema: str) -> DataFrame:
 
 def values(rows: list, names: str) -> str:
     """The same rows as a SQL table expression."""
+    rows = [*rows]
     lit = lambda v: "NULL" if v is None else str(v) if isinstance(v, int) else "'" + v.replace("'", "''") + "'"
     return f"(SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(lit, r)) + ')' for r in rows)}) AS v({names}))"

@@ -6,7 +6,7 @@ from math import pi
 
 from docloom.functions.abbreviations import FORM_FIRST
 from docloom.functions.vectorize import STOP_WORDS, TOKEN
-from docloom.operators.events import CODE, TRIGGER
+from docloom.operators.events import ACTIVITY, AGENT, CODE, CONDITION, EVALUEE, HOURS, TIME, TRIGGER, WEEKS
 from docloom.operators.nested import SECTION_KEYS
 from docloom.plans import fixtures
 
@@ -67,9 +67,9 @@ links AS (SELECT relationship, source_node, target_node, sum(weight) AS weight,
 
 
 _TOTALS = "(SELECT node, sum(weight) AS total FROM (SELECT source_node AS node, weight FROM {0} UNION ALL SELECT target_node, weight FROM {0} WHERE source_node <> target_node) GROUP BY 1)"
-_SMALL = f"""{_links('title')}, totals0 AS {_TOTALS.format('links')}, top AS (SELECT node FROM totals0 ORDER BY total DESC, node LIMIT 12),
-between AS (SELECT * FROM links WHERE source_node IN (SELECT node FROM top) AND target_node IN (SELECT node FROM top) AND weight >= 0.5),
-few AS (SELECT * FROM between ORDER BY weight DESC, relationship, source_node, target_node LIMIT 40), totals AS (SELECT * FROM {_TOTALS.format('few')} WHERE total > 0)"""
+_SMALL = f"""{_links('title')}, totals0 AS {_TOTALS.format('links')}, top AS (SELECT node FROM totals0 ORDER BY total DESC, node LIMIT 64),
+between AS (SELECT * FROM links WHERE source_node IN (SELECT node FROM top) AND target_node IN (SELECT node FROM top)),
+few AS (SELECT * FROM between ORDER BY weight DESC, relationship, source_node, target_node LIMIT 450), totals AS (SELECT * FROM {_TOTALS.format('few')} WHERE total > 0)"""
 _ARCS = f"""{_SMALL}, m AS (SELECT node, total, count(*) OVER () AS n, sum(total) OVER () AS grand, total / max(total) OVER () AS share FROM totals),
 g AS (SELECT *, radians(greatest(1.2, least(4.0, 90.0 / n))) AS gap FROM m), sp AS (SELECT *, (2 * {pi!r} - gap * n) * total / grand AS span FROM g),
 st AS (SELECT *, {pi / 2!r} - coalesce(sum(span + gap) OVER (ORDER BY node ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS "start" FROM sp),
@@ -108,15 +108,51 @@ SELECT raw_id, node_address, CASE WHEN node_address LIKE 'metadata/%' THEN 'meta
 WHERE node_address = 'metadata' AND type = 'OBJECT' OR regexp_matches(node_address, '^metadata/[^/]+$') AND type = 'OBJECT'
 OR regexp_matches(node_address, '^sections(/\d+|/({_SECTION_KEYS}))*$') AND (type = 'OBJECT' OR type = 'VARCHAR' AND regexp_matches(node_address, '/\d+$'))"""
 
+#: Patterns whose first group ends before something: that something may be read too where only the first match counts.
+_ENDS = {name: pattern.replace("(?=", "(?:") for name, pattern in (("condition", CONDITION), ("time", TIME))}
+
+
+def _expression(t: str) -> str:
+    """The columns of a condition's expression; ``t`` is its trimmed text."""
+    hours, low, high = (f"nullif(regexp_extract({t}, {_q(p)}, {k}), '')" for p, k in ((HOURS, 1), (WEEKS, 1), (WEEKS, 2)))
+    pick = lambda less, between, other="NULL": f"CASE WHEN {t} IS NULL THEN NULL WHEN {hours} IS NOT NULL THEN {less} WHEN {low} IS NOT NULL THEN {between} ELSE {other} END"
+    return f"""{t} AS text, {pick("'lessThan'", "'betweenInclusive'")} AS operator, {pick("'client.accumulatedInsurableHours'", "'claim.BPCWeek'")} AS "left", {pick(f"cast({hours} AS INTEGER)", "NULL")} AS "right",
+{pick("'hour'", "NULL")} AS unit, {pick("NULL", f"cast({low} AS INTEGER)")} AS lower, {pick("NULL", f"cast({high} AS INTEGER)")} AS upper, {pick("NULL", "NULL", "'unresolved'")} AS "normalizationStatus\""""
+
+
+_EVENTS = f"""pol AS (SELECT * FROM {fixtures.values(fixtures.POLICIES, 'doc_id, text')}), {_SENTENCES.format('text', 'pol')},
+ev0 AS (SELECT *, regexp_extract_all(sentence, {_q(TRIGGER)}, 1)[-1] AS trigger, nullif(regexp_extract(sentence, {_q(_ENDS['condition'])}, 1), '') AS cond0, nullif(regexp_extract(sentence, {_q(_ENDS['time'])}, 1), '') AS time_text,
+ nullif(regexp_extract(sentence, {_q(AGENT)}, 0), '') AS agent, nullif(regexp_extract(sentence, {_q(EVALUEE)}, 0), '') AS evaluee, nullif(upper(regexp_extract(sentence, {_q(CODE)}, 4)), '') AS own FROM sent WHERE regexp_matches(sentence, {_q(TRIGGER)})),
+ev AS (SELECT *, trim(cond0, ' ,') AS cond, CASE WHEN contains(lower(trigger), 'terminat') THEN 'PenaltyTermination' WHEN contains(lower(trigger), 'rescind') THEN 'PenaltyRescission' WHEN contains(lower(trigger), 'suspend') THEN 'PenaltySuspension' ELSE 'PenaltyImposition' END AS event_type,
+ last_value(own IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY sentence_index ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS carried FROM ev0)"""
+#: First and last place (from 0) of a value in the sentence, letter case aside.
+_FIRST, _LAST = "instr(lower(sentence), lower({0})) - 1", "CASE WHEN contains(lower(sentence), lower({0})) THEN length(sentence) - instr(reverse(lower(sentence)), reverse(lower({0}))) + 1 - length({0}) ELSE -1 END"
+_BEZIER = "(1 - {t}) * (1 - {t}) * (1 - {t}) * {0} + 3 * (1 - {t}) * (1 - {t}) * {t} * {1} + 3 * (1 - {t}) * {t} * {t} * {2} + {t} * {t} * {t} * {3}"
+
+
+def _on_chord(axis: str, along: str, sign: str) -> str:
+    """A coordinate of the 25th point of a chord between the angles a and b."""
+    straight = _BEZIER.format(f"{axis}(a)", f"0.22 * {axis}(a)", f"0.22 * {axis}(b)", f"{axis}(b)", t="(24 / 47.0)")
+    middle, step = f"1.38 * {axis}((a + b) / 2)", f"{sign}0.18 * {along}((a + b) / 2)"
+    loop = _BEZIER.format(f"{axis}(a)", f"({middle} - ({step}))", f"({middle} + ({step}))", f"{axis}(b)", t="(24 / 53.0)")
+    return f"round(CASE WHEN source_node = target_node THEN {loop} ELSE {straight} END, 5)"
+
+
+_REPLIES = rf"""r AS (SELECT id, trim(reply) AS t, regexp_extract(trim(reply), '(?is)^```(?:json)?\s*(.*?)\s*```$', 1) AS f FROM {fixtures.values(fixtures.REPLIES, 'id, reply')}),
+b AS (SELECT id, trim(CASE WHEN f <> '' THEN f ELSE t END) AS b FROM r), j AS (SELECT *, CASE WHEN json_valid(b) THEN json_type(b) = 'OBJECT' ELSE false END AS ok FROM b),
+k AS (SELECT *, CASE WHEN ok THEN trim(coalesce(json_extract_string(b, '$.relationship_type'), '')) ELSE 'parse_error' END AS kind, CASE WHEN ok THEN coalesce(json_extract_string(b, '$.analysis'), '') ELSE b END AS why FROM j)"""
+_EXEMPLARS = f"SELECT frame, lexical_unit, sentence_id, {_strip('text')} AS text, cast(row_number() OVER (PARTITION BY {{0}} ORDER BY sentence_id, lexical_unit_id) AS INTEGER) AS place FROM {fixtures.values(fixtures.EXAMPLES, 'frame, lexical_unit, lexical_unit_id, sentence_id, text')} QUALIFY place <= 2"
+_PLAIN = f"trim(regexp_replace(regexp_replace(coalesce({{0}}, ''), '</?[^>]+>', '', 'g'), {_q(S + '+')}, ' ', 'g'))"
+
 SQL: dict[str, str] = {
     "p6_found": _NODES,
     "dup_pairs_tfidf": f"WITH {_PAIRS} SELECT * FROM p",
     "dup_pairs_labelled": f"WITH {_BEST % 500} SELECT lang AS cluster_label, true AS same_cluster, i AS item1_id, j AS item2_id, similarity, {_HEURISTIC} AS relationship, {_REASON} AS analysis FROM best",
-    "label_status": f"WITH {_BEST % 200} SELECT i AS item1_id, j AS item2_id, {_HEURISTIC} AS heuristic_relationship_type, 'SKIPPED_NO_API_KEY' AS llm_relationship_type, '' AS llm_analysis FROM best",
+    "label_status": f"WITH {_BEST % 500} SELECT i AS item1_id, j AS item2_id, {_HEURISTIC} AS heuristic_relationship_type, 'SKIPPED_NO_API_KEY' AS llm_relationship_type, '' AS llm_analysis FROM best",
     "tfidf_vocab": f"WITH {_TF} SELECT term, df, total_tf FROM vocab",
     "tfidf_vocab_bigrams": f"""WITH l AS (SELECT doc_id, list_filter(regexp_extract_all(lower(coalesce(text, '')), {_q(TOKEN)}), lambda t: NOT list_contains({_STOP}, t)) AS l FROM documents),
 tok AS (SELECT doc_id, unnest(l) AS term FROM l UNION ALL SELECT doc_id, unnest(list_transform(range(1, len(l)), lambda i: l[i] || ' ' || l[i + 1])) FROM l), tf AS (SELECT doc_id, term, count(*) AS tf FROM tok GROUP BY ALL)
-SELECT term, count(*) AS df, cast(sum(tf) AS BIGINT) AS total_tf FROM tf GROUP BY term HAVING count(*) >= 2 AND count(*) <= 0.9 * (SELECT count(*) FROM documents) ORDER BY total_tf DESC, term LIMIT 5000""",
+SELECT term, count(*) AS df, cast(sum(tf) AS BIGINT) AS total_tf FROM tf GROUP BY term HAVING count(*) >= 2 AND count(*) <= 0.9 * (SELECT count(*) FROM documents) ORDER BY total_tf DESC, term LIMIT 50000""",
     "tfidf_weights": f"WITH {_TF} SELECT doc_id, term, round(w, 6) AS weight FROM u",
     "emb_pairs_within": "SELECT a.label, a.vec_id AS i, b.vec_id AS j, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS similarity FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id WHERE list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.3",
     "emb_pairs_all": "SELECT a.vec_id AS i, b.vec_id AS j, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS similarity FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.4",
@@ -131,7 +167,7 @@ cast(coalesce(sum(cast(cross_encoder_passed AS INTEGER)), 0) AS BIGINT) AS cross
     "passed_pairs": "SELECT pair_id, item1_type, cross_encoder_similarity_value FROM duplicate_pairs WHERE item1_type IN ('task', 'activity') AND item2_type IN ('task', 'activity') AND item1_type = item2_type AND cross_encoder_similarity_value > 0.5",
     "top_pairs": "SELECT DISTINCT item1_id, item2_id, similarity, cross_encoder_similarity_value FROM duplicate_pairs WHERE NOT isnan(similarity) AND NOT isnan(cross_encoder_similarity_value) ORDER BY cross_encoder_similarity_value DESC, similarity DESC, item1_id NULLS FIRST, item2_id NULLS FIRST LIMIT 100",
     "unordered_pairs": "SELECT least(item1_id, item2_id) AS a, greatest(item1_id, item2_id) AS b, count(*) AS n FROM duplicate_pairs WHERE item1_id IS NOT NULL AND item2_id IS NOT NULL GROUP BY 1, 2",
-    "model_texts": "SELECT document_id, concat_ws(chr(10) || chr(10), nullif(trim(title), ''), nullif(trim(summary), ''), nullif(left(trim(text), 200), '')) AS model_text FROM procedure_documents",
+    "model_texts": "SELECT document_id, concat_ws(chr(10) || chr(10), nullif(trim(title), ''), nullif(trim(summary), ''), nullif(left(trim(text), 2500), '')) AS model_text FROM procedure_documents",
     "cluster_statistics": _STATS,
     "largest_clusters": f"SELECT cluster_label, num_verses FROM ({_STATS}) ORDER BY num_verses DESC, cluster_label LIMIT 4",
     "cluster_share_source": _SHARES.format("source"),
@@ -159,7 +195,7 @@ SELECT 'pair-' || row_number() OVER (ORDER BY weight DESC, avg_weight DESC, rela
     "sentences": f"WITH {_SENTENCES.format('coalesce(text, {0})'.format(_q('')), 'documents')} SELECT * FROM sent",
     "text_previews": f"""WITH c AS (SELECT doc_id, coalesce(text, '') AS raw, {_squeeze("coalesce(text, '')")} AS t FROM documents), p AS (SELECT *, CASE WHEN length(t) <= 900 THEN t ELSE regexp_replace(left(t, 899), {_q(S + '+$')}, '') || '...' END AS preview FROM c)
 SELECT doc_id, preview, CASE WHEN preview = '' THEN 'No text available' ELSE array_to_string(list_transform(range(0, length(preview), 96), lambda i: replace(replace(replace(replace(replace(substring(preview, i + 1, 96), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#x27;')), '<br>') END AS html,
-CASE WHEN length(raw) > 500 THEN regexp_replace(left(raw, 500), {_q(S + '+$')}, '') ELSE raw END AS clipped, length(raw) > 500 AS truncated FROM p""",
+CASE WHEN length(raw) > 20000 THEN regexp_replace(left(raw, 20000), {_q(S + '+$')}, '') ELSE raw END AS clipped, length(raw) > 20000 AS truncated FROM p""",
     "relationship_names": f"WITH r AS (SELECT {_NAME} AS relationship, starts_with(upper({_LABEL}), 'SKIPPED') AS skipped FROM llm_analyzed_duplicates) SELECT relationship, skipped, count(*) AS n, cast(min({_RANK}) AS INTEGER) AS rank FROM r GROUP BY 1, 2",
     "sigmoids": "SELECT pair_id, round(max(1 / (1 + exp(-similarity))), 6) AS sigmoid FROM duplicate_pairs WHERE similarity IS NOT NULL AND NOT isnan(similarity) GROUP BY 1",
     "props_json": "SELECT event_type, cast(sum(cast(json_extract_string(props, '$.k') AS BIGINT)) AS BIGINT) AS k, count(*) AS n FROM events GROUP BY 1",
@@ -173,4 +209,31 @@ v AS (SELECT *, CASE WHEN event_type = 'PenaltyImposition' AND own IS NULL THEN
 SELECT doc_id, sentence_index, event_type, CASE event_type WHEN 'PenaltyImposition' THEN 'Rewards_and_punishments' WHEN 'PenaltyTermination' THEN 'Activity_stop' WHEN 'PenaltySuspension' THEN 'Activity_pause' END AS frame, trigger, cast(e - length(trigger) AS INTEGER) AS trigger_start,
 CASE WHEN contains(lower(trigger), 'not') THEN 'negative' ELSE 'positive' END AS polarity, CASE WHEN contains(lower(trigger), 'must') THEN 'required' WHEN contains(lower(trigger), 'cannot') THEN 'prohibited' ELSE 'asserted' END AS modality, pen.c AS code, pen.n AS number,
 nullif(regexp_extract(sentence, '(?i)\\b(the\\s+(?:officer|agent|system|Commission)|Service Canada)\\b', 0), '') AS agent, nullif(regexp_extract(sentence, '(?i)\\b(the\\s+client|clients|the\\s+claimant|claimants)\\b', 0), '') AS evaluee FROM v""",
+    "condition_expressions": f"SELECT id, {_expression('t')} FROM (SELECT id, trim(text, ' ,') AS t FROM {fixtures.values(fixtures.CONDITIONS, 'id, text')})",
+    "events_conditions": f"WITH {_EVENTS} SELECT doc_id, sentence_index, {_expression('cond')}, time_text FROM ev",
+    "events_evidence": f"""WITH {_EVENTS}, r AS (SELECT doc_id, sentence_index, event_type, unnest([{{'role': 'Agent', 'v': agent}}, {{'role': 'Evaluee', 'v': evaluee}}, {{'role': 'Condition', 'v': cond0}}, {{'role': 'Time', 'v': time_text}}]) AS r FROM ev)
+SELECT doc_id, sentence_index, event_type, r.role AS role, CASE WHEN r.v IS NULL THEN 'implicit_or_unresolved' ELSE 'domain_rule' END AS method, NULL AS relation FROM r""",
+    "highlight_segments": f"""WITH {_EVENTS}, code AS (SELECT *, CASE WHEN event_type = 'PenaltyImposition' THEN own ELSE carried END AS code FROM ev),
+span AS (SELECT doc_id, sentence_index, sentence, unnest([{{'k': 'reason', 'p': 1, 'a': {_FIRST.format('cond')}, 'n': length(cond)}}, {{'k': 'code', 'p': 7, 'a': {_FIRST.format('code')}, 'n': length(code)}}, {{'k': 'trigger', 'p': 8, 'a': {_LAST.format('trigger')}, 'n': length(trigger)}}]) AS s FROM code),
+ch AS (SELECT doc_id, sentence_index, sentence, unnest(range(0, length(sentence))) AS i FROM code),
+paint AS (SELECT c.doc_id, c.sentence_index, c.sentence, c.i, arg_max(s.s.k, s.s.p) AS type FROM ch c LEFT JOIN span s ON s.doc_id = c.doc_id AND s.sentence_index = c.sentence_index AND s.s.a >= 0 AND s.s.a <= c.i AND c.i < s.s.a + s.s.n GROUP BY ALL),
+new AS (SELECT *, CASE WHEN i = 0 OR type IS DISTINCT FROM lag(type) OVER w THEN 1 ELSE 0 END AS fresh FROM paint WINDOW w AS (PARTITION BY doc_id, sentence_index ORDER BY i)),
+seg AS (SELECT *, cast(sum(fresh) OVER (PARTITION BY doc_id, sentence_index ORDER BY i) - 1 AS BIGINT) AS segment FROM new)
+SELECT doc_id, sentence_index, segment, cast(min(i) AS INTEGER) AS "start", cast(max(i) + 1 AS INTEGER) AS "end", type, substring(any_value(sentence), cast(min(i) + 1 AS BIGINT), cast(max(i) + 1 - min(i) AS BIGINT)) AS text FROM seg GROUP BY doc_id, sentence_index, segment, type""",
+    "graph_curves": f"""WITH p AS ({{0}}), e AS (SELECT relationship, source_node, target_node, max(angle) FILTER (side = 'source') AS a, max(angle) FILTER (side = 'target') AS b FROM p GROUP BY 1, 2, 3)
+SELECT relationship, source_node, target_node, CASE WHEN source_node = target_node THEN 54 ELSE 48 END AS points, round(cos(a), 5) AS x0, {_on_chord('cos', 'sin', '-')} AS x24, {_on_chord('sin', 'cos', '')} AS y24, round(sin(b), 5) AS y1 FROM e""".replace("{0}", f"WITH {_PORTS}".replace("6) AS angle", "14) AS angle")),
+    "graph_search": f"""WITH {_SMALL}, r AS (SELECT *, coalesce(nullif({_squeeze("coalesce(source_title, '')")}, ''), source_node) AS st, coalesce(nullif({_squeeze("coalesce(target_title, '')")}, ''), target_node) AS tt FROM few),
+n AS (SELECT 'pair-' || row_number() OVER (ORDER BY weight DESC, avg_weight DESC, relationship, source_node, target_node) AS id, * FROM r)
+SELECT id, relationship FROM n WHERE contains(lower(concat_ws(' ', st || ' ↔ ' || tt, relationship, coalesce(source_path, ''), coalesce(target_path, ''))), 'partial')""",
+    "model_replies": f"WITH {_REPLIES} SELECT id, CASE WHEN ok AND kind IN ('semantically_identical', 'one_doc_included', 'conflict_in_information', 'none_of_above') THEN kind ELSE 'parse_error' END AS relationship_type, CASE WHEN ok AND kind IN ('semantically_identical', 'one_doc_included', 'conflict_in_information', 'none_of_above') THEN why ELSE 'Invalid relationship_type from model: ' || chr(39) || kind || chr(39) || '. Raw analysis: ' || why END AS analysis FROM k",
+    "frame_exemplars": _EXEMPLARS.replace("{0}", "frame"),
+    "frame_exemplars_by_unit": _EXEMPLARS.replace("{0}", "frame, lexical_unit"),
+    "frame_summaries": f"""SELECT name, id, {_PLAIN.replace('{0}', 'definition')} AS definition, coalesce(elements, '') AS elements, coalesce(lexical_units, '') AS lexical_units, coalesce(relations, '') AS relations FROM {fixtures.values(fixtures.DEFINITIONS, 'name, id, definition')}
+LEFT JOIN (SELECT frame AS name, string_agg(e, '|' ORDER BY e) AS elements FROM (SELECT frame, name || ':' || core_type || ':' || {_PLAIN.replace('{0}', 'definition')} AS e FROM {fixtures.values(fixtures.ELEMENTS, 'frame, id, name, core_type, definition')}) GROUP BY 1) USING (name)
+LEFT JOIN (SELECT frame AS name, string_agg(DISTINCT u, '|' ORDER BY u) AS lexical_units FROM {fixtures.values(fixtures.UNITS, 'frame, u')} GROUP BY 1) USING (name) LEFT JOIN (SELECT frame AS name, string_agg(r, '|' ORDER BY r) AS relations FROM {fixtures.values(fixtures.RELATIONS, 'frame, r')} GROUP BY 1) USING (name)""",
+    "encoded_texts": """WITH c AS (SELECT doc_id, unnest(range(0, 26)) AS k, lower(coalesce(text, '')) AS t FROM documents), n AS (SELECT doc_id, k, length(t) - length(replace(t, chr(cast(97 + k AS INTEGER)), '')) AS n FROM c)
+SELECT doc_id, cast(k AS INTEGER) AS place, round(n / sqrt(sum(n * n) OVER (PARTITION BY doc_id)), 4) AS x FROM n WHERE n > 0""",
+    "csv_round_trip": "SELECT item1_id, item2_id, " + ", ".join(f"coalesce({c}, '') AS {c}" for c in ("item1_title", "item2_path", "llm_relationship_type", "llm_analysis")) + " FROM llm_analyzed_duplicates",
+    "verses_read": "SELECT trim(book) AS book, chapter, verse_number, min(text) AS text FROM aggregated_vectors WHERE source IS NOT NULL AND book IS NOT NULL AND chapter IS NOT NULL AND verse_number IS NOT NULL AND text IS NOT NULL AND regexp_matches(book, '^[a-zA-Z ]+$') GROUP BY source, book, chapter, verse_number",
+    "p6_links_in_sections": rf"WITH n AS ({_NODES}) SELECT o.raw_id, o.node_address AS outer_address, l.node_address AS inner_address FROM n o JOIN n l ON o.raw_id = l.raw_id AND starts_with(l.node_address, o.node_address || '/') WHERE regexp_matches(o.node_address, '^sections(/\d+)*$') AND regexp_matches(l.node_address, '/links(/\d+)*$')",
 }

@@ -83,17 +83,22 @@ def procedure_zip(spark: SparkSession, path: str) -> DataFrame:
 
     Documents without text are left out before ids are given.
     """
+    return zipped_documents(spark.read.format("binaryFile").load(path).select("content"))
+
+
+def zipped_documents(archives: DataFrame) -> DataFrame:
+    """``procedure_zip`` for archives that are a column of bytes, (content)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [c.split()[0] for c in DOCUMENT.split(", ")]
         for batch in batches:
             for content in batch["content"]:
                 with zipfile.ZipFile(io.BytesIO(content)) as archive:
-                    rows = [document_of(n, json.loads(archive.read(n).decode("utf-8-sig"))) for n in safe_members(archive) if n.endswith(".json")]
+                    read = ((n, json.loads(archive.read(n).decode("utf-8-sig"))) for n in safe_members(archive) if n.endswith(".json"))
+                    rows = [document_of(n, record) for n, record in read if isinstance(record, dict)]
                 yield pd.DataFrame([r for r in rows if r], columns=names)
 
-    found = spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, DOCUMENT)
-    return dense_ids(found, "document_id", "path")
+    return dense_ids(archives.select("content").mapInPandas(run, DOCUMENT), "document_id", "path")
 
 
 def dense_ids(rows: DataFrame, name: str, *order: str) -> DataFrame:

@@ -18,7 +18,7 @@ MOST_ROWS = 100_000
 
 
 def csv_folder(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").csv(path, header=True, quote='"', escape='"')
+    df.write.mode("overwrite").csv(path, header=True, quote='"', escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
 def _few(df: DataFrame, most: int) -> list:
