@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.session import cut
+from docloom.session import cut, scratch
 
 #: Rate of the exponential shifts: the smaller, the larger the clusters and the fewer the rounds.
 RATE = 0.15
@@ -50,35 +50,36 @@ def components(edges: DataFrame, left: str = "a", right: str = "b") -> DataFrame
     Both columns become bigint.  Edges may repeat and stand in either order; self pairs and edges with
     a null end tie nothing and are left out; other columns are ignored; no edges, no rows.
     """
-    ends = edges.select(F.col(left).cast("long").alias("x"), F.col(right).cast("long").alias("y")).where("x <> y")
-    # Copies of an edge fold before the shuffle.
-    now = cut(ends.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct())
-    maps: list[DataFrame] = []
-    for seed in range(MOST_ROUNDS):
-        if now.isEmpty():
-            break
-        both = now.select(F.col("x").alias("a"), F.col("y").alias("b")).unionByName(now.select(F.col("y").alias("a"), F.col("x").alias("b")))
-        joined = cut(_grow(both, seed))
-        maps.append(joined)
-        to = lambda end, name: joined.select(F.col("v").alias(end), F.col("c").alias(name))  # noqa: B023, E731
-        moved = now.join(to("x", "p"), "x").join(to("y", "q"), "y").where("p <> q")
-        now = cut(moved.select(F.least("p", "q").alias("x"), F.greatest("p", "q").alias("y")).distinct())
-    else:
-        raise RuntimeError("the decomposition did not end")
-    if not maps:
-        return now.select(F.col("x").alias("vertex"), F.col("y").alias("group_id"))
-    # Compose from the last round back: first every vertex gets the root of its component.
-    final = maps[-1].select("v", F.col("c").alias("root"))
-    for earlier in reversed(maps[:-1]):
-        later = final.select(F.col("v").alias("c"), "root")
-        final = earlier.join(later, "c", "left").select("v", F.coalesce("root", "c").alias("root"))
-    # Then roots are renamed to the smallest vertex.  Those of giant components, of which there can be no more
-    # than vertices divided by GIANT, are broadcast, so that no task has to take in all members of one.
-    final = cut(final)
-    least = cut(final.groupBy("root").agg(F.min("v").alias("group_id"), F.count("*").alias("members")))
-    giant = F.broadcast(least.where(F.col("members") > GIANT).select("root", "group_id"))
-    others = final.join(giant.select("root"), "root", "left_anti").join(least.where(F.col("members") <= GIANT).select("root", "group_id"), "root")
-    return final.join(giant, "root").unionByName(others).select(F.col("v").alias("vertex"), "group_id")
+    with scratch(edges.sparkSession) as keep:
+        ends = edges.select(F.col(left).cast("long").alias("x"), F.col(right).cast("long").alias("y")).where("x <> y")
+        # Copies of an edge fold before the shuffle.
+        now = cut(ends.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct())
+        maps: list[DataFrame] = []
+        for seed in range(MOST_ROUNDS):
+            if now.isEmpty():
+                break
+            both = now.select(F.col("x").alias("a"), F.col("y").alias("b")).unionByName(now.select(F.col("y").alias("a"), F.col("x").alias("b")))
+            joined = cut(_grow(both, seed))
+            maps.append(joined)
+            to = lambda end, name: joined.select(F.col("v").alias(end), F.col("c").alias(name))  # noqa: B023, E731
+            moved = now.join(to("x", "p"), "x").join(to("y", "q"), "y").where("p <> q")
+            now = cut(moved.select(F.least("p", "q").alias("x"), F.greatest("p", "q").alias("y")).distinct())
+        else:
+            raise RuntimeError("the decomposition did not end")
+        if not maps:
+            return keep(now.select(F.col("x").alias("vertex"), F.col("y").alias("group_id")))
+        # Compose from the last round back: first every vertex gets the root of its component.
+        final = maps[-1].select("v", F.col("c").alias("root"))
+        for earlier in reversed(maps[:-1]):
+            later = final.select(F.col("v").alias("c"), "root")
+            final = earlier.join(later, "c", "left").select("v", F.coalesce("root", "c").alias("root"))
+        # Then roots are renamed to the smallest vertex.  Those of giant components, of which there can be no more
+        # than vertices divided by GIANT, are broadcast, so that no task has to take in all members of one.
+        final = cut(final)
+        least = cut(final.groupBy("root").agg(F.min("v").alias("group_id"), F.count("*").alias("members")))
+        giant = F.broadcast(least.where(F.col("members") > GIANT).select("root", "group_id"))
+        others = final.join(giant.select("root"), "root", "left_anti").join(least.where(F.col("members") <= GIANT).select("root", "group_id"), "root")
+        return keep(final.join(giant, "root").unionByName(others).select(F.col("v").alias("vertex"), "group_id"))
 
 
 def normal_label(label):

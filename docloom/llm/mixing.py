@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 
 from docloom.session import cut
 
-TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+#: The setting that names the tokenizer's vocabulary file, and the file where it is not set.
+TOKENIZER_SETTING, TOKENIZER = "spark.docloom.tokenizer", "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Bounds of the plan kept on the driver: targets rows, and (source, language) leaves.
 MOST_LEAVES = 1_000_000
 #: A leaf's order is cut into blocks of about so many texts; running totals are kept per block.
@@ -39,11 +40,19 @@ def _encoding(path: str):
     return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def token_counts(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
-    """(doc_id, source, lang, tokens): sizes in tokens of a public tokenizer, over whole texts."""
+def token_counts(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
+    """(doc_id, source, lang, tokens): sizes in tokens of a public tokenizer, over whole texts.
+
+    The vocabulary file, on the driver or in a folder that Spark can read, is sent to the workers.
+    """
+    path = tokenizer or docs.sparkSession.conf.get(TOKENIZER_SETTING, TOKENIZER)
+    docs.sparkSession.sparkContext.addFile(path)
+    name = path.rsplit("/", 1)[-1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _encoding(tokenizer).encode_ordinary
+        from pyspark import SparkFiles
+
+        encode = _encoding(SparkFiles.get(name)).encode_ordinary
         for batch in batches:
             n = [len(encode(t)) if t else 0 for t in batch.column(3).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(n, pa.int64())], ["doc_id", "source", "lang", "tokens"])
@@ -106,7 +115,7 @@ def plan(leaves: list[dict], budget: float | None) -> tuple[float, list[dict]]:
     return given[()], [leaf | {"budget": given.get(key(leaf, 3), 0.0)} for leaf in leaves]
 
 
-def mixture(docs: DataFrame, targets: DataFrame, budgets: dict[str, float] | None = None, budget_share: float | None = None, domains: dict[str, str] | None = None, seed: int = 17, tokenizer: str = TOKENIZER) -> tuple[DataFrame, DataFrame]:
+def mixture(docs: DataFrame, targets: DataFrame, budgets: dict[str, float] | None = None, budget_share: float | None = None, domains: dict[str, str] | None = None, seed: int = 17, tokenizer: str | None = None) -> tuple[DataFrame, DataFrame]:
     """The drawn texts (mix_name, doc_id, source, lang, tokens, times) and the report of shares.
 
     The report has (mix_name, source, target_share, available_tokens, budget_tokens, drawn_tokens,

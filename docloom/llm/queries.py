@@ -30,6 +30,18 @@ def p9_shares_at_corpus_size(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mixture(table(spark, folder, "documents"), table(spark, folder, "mixture_targets"), budget_share=1.0)[1]
 
 
+def _domains(targets: DataFrame) -> dict[str, str]:
+    """Each source's domain, the first word of its name; targets do not grow with the texts."""
+    names = targets.select(mixing.normal_source(F.col("source")).alias("s")).where("s is not null").distinct().limit(mixing.MOST_LEAVES).collect()
+    return {r.s: r.s.split("_")[0] for r in names}
+
+
+def p9_shares_by_domain(spark: SparkSession, folder: str) -> DataFrame:
+    """As much as the corpus holds, with domains: what a source lacks goes to its siblings before other domains."""
+    targets = table(spark, folder, "mixture_targets")
+    return mixing.mixture(table(spark, folder, "documents"), targets, budget_share=1.0, domains=_domains(targets))[1]
+
+
 def p10_found(spark: SparkSession, folder: str) -> DataFrame:
     return skeleton.look_alike_pairs(table(spark, folder, "documents"))
 
@@ -106,5 +118,5 @@ def p8_report(spark: SparkSession, folder: str) -> DataFrame:
     return leaks.leak_report(p8_found(spark, folder), table(spark, folder, "eval_items"))
 
 
-QUERIES: dict[str, Query] = {"p1_found": p1_found, "p1_records": p1_records, "p2_found": p2_found, "p2_languages": p2_languages, "p3_found": p3_found, "p3_groups": p3_groups, "p4_found": p4_found, "p4_described": p4_described, "p5_found": p5_found, "p7_found": p7_found, "p7_neighbours": p7_neighbours, "p8_found": p8_found, "p8_report": p8_report, "p9_drawn": p9_drawn, "p9_shares": p9_shares, "p9_shares_at_corpus_size": p9_shares_at_corpus_size, "p10_found": p10_found, "p10_groups": p10_groups}
+QUERIES: dict[str, Query] = {"p1_found": p1_found, "p1_records": p1_records, "p2_found": p2_found, "p2_languages": p2_languages, "p3_found": p3_found, "p3_groups": p3_groups, "p4_found": p4_found, "p4_described": p4_described, "p5_found": p5_found, "p7_found": p7_found, "p7_neighbours": p7_neighbours, "p8_found": p8_found, "p8_report": p8_report, "p9_drawn": p9_drawn, "p9_shares": p9_shares, "p9_shares_at_corpus_size": p9_shares_at_corpus_size, "p9_shares_by_domain": p9_shares_by_domain, "p10_found": p10_found, "p10_groups": p10_groups}
 __all__ = ["QUERIES", "SQL"]

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.session import cut
+from docloom.session import cut, scratch
 
 # The commonest letters of other scripts and the Latin letter each one looks like; they stand whatever the table says.
 CYRILLIC = dict(zip("АВЕЅІЈКМНОРСТУХаеѕіјорсухһԁԛԝӏҮүҺԌԚԜ", "ABESIJKMHOPCTYXaesijopcyxhdqwlYyhGQW", strict=True))
@@ -162,11 +162,12 @@ def look_alike_groups(docs: DataFrame, id_column: str = "doc_id", text_column: s
     ``group_id`` is the smallest id whose text looks the same, ``documents`` how many look the same,
     ``variants`` in how many stored forms.  An empty table gives no rows.
     """
-    keys = cut(skeleton_keys(docs, id_column, text_column))
-    # Two partial aggregations: copies fold before the shuffle, so a group that holds a third of all rows is a few rows.
-    forms = keys.groupBy("shape", "stored").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"))
-    groups = forms.groupBy("shape").agg(F.min("first").alias("group_id"), F.sum("copies").alias("documents"), F.count("*").alias("variants"))
-    return keys.join(groups, "shape").select("doc_id", "group_id", "documents", "variants")
+    with scratch(docs.sparkSession) as keep:
+        keys = cut(skeleton_keys(docs, id_column, text_column))
+        # Two partial aggregations: copies fold before the shuffle, so a group that holds a third of all rows is a few rows.
+        forms = keys.groupBy("shape", "stored").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"))
+        groups = forms.groupBy("shape").agg(F.min("first").alias("group_id"), F.sum("copies").alias("documents"), F.count("*").alias("variants"))
+        return keep(keys.join(groups, "shape").select("doc_id", "group_id", "documents", "variants"))
 
 
 def look_alike_pairs(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -175,12 +176,13 @@ def look_alike_pairs(docs: DataFrame, id_column: str = "doc_id", text_column: st
     Stored forms are paired first, once per two forms of a shape; only then do documents join, so
     copies of one form never meet each other and the work is that of the result.
     """
-    keys = cut(skeleton_keys(docs, id_column, text_column))  # two digests a row; texts are read once
-    forms = keys.groupBy("shape", "stored").agg(F.count("*").alias("copies"))
-    several = forms.groupBy("shape").agg(F.count("*").alias("variants")).where("variants > 1").select("shape")
-    keys = keys.join(several, "shape", "left_semi").distinct()
-    forms = keys.select("shape", "stored").distinct()
-    two = forms.alias("a").join(forms.alias("b"), F.expr("a.shape = b.shape and a.stored < b.stored")).select("a.shape", F.col("a.stored").alias("one"), F.col("b.stored").alias("other"))
-    left = two.join(keys.select("shape", F.col("stored").alias("one"), F.col("doc_id").alias("x")), ["shape", "one"])
-    both = left.join(keys.select("shape", F.col("stored").alias("other"), F.col("doc_id").alias("y")), ["shape", "other"])
-    return both.select(F.least("x", "y").alias("doc_id_1"), F.greatest("x", "y").alias("doc_id_2")).where("doc_id_1 <> doc_id_2").distinct()
+    with scratch(docs.sparkSession) as keep:
+        keys = cut(skeleton_keys(docs, id_column, text_column))  # two digests a row; texts are read once
+        forms = keys.groupBy("shape", "stored").agg(F.count("*").alias("copies"))
+        several = forms.groupBy("shape").agg(F.count("*").alias("variants")).where("variants > 1").select("shape")
+        keys = keys.join(several, "shape", "left_semi").distinct()
+        forms = keys.select("shape", "stored").distinct()
+        two = forms.alias("a").join(forms.alias("b"), F.expr("a.shape = b.shape and a.stored < b.stored")).select("a.shape", F.col("a.stored").alias("one"), F.col("b.stored").alias("other"))
+        left = two.join(keys.select("shape", F.col("stored").alias("one"), F.col("doc_id").alias("x")), ["shape", "one"])
+        both = left.join(keys.select("shape", F.col("stored").alias("other"), F.col("doc_id").alias("y")), ["shape", "other"])
+        return keep(both.select(F.least("x", "y").alias("doc_id_1"), F.greatest("x", "y").alias("doc_id_2")).where("doc_id_1 <> doc_id_2").distinct())

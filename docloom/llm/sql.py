@@ -106,3 +106,7 @@ x AS ({_RUN.format('item_id', 'i WHERE len(w) >= 13')}), y AS ({_RUN.format('doc
 SELECT DISTINCT a.doc_id AS doc_id_1, b.doc_id AS doc_id_2 FROM k a JOIN k b ON a.k = b.k AND a.doc_id < b.doc_id AND a.t <> b.t""",
 }
 SQL["p8_report"] = f"SELECT item_id, count(doc_id) AS documents FROM (SELECT DISTINCT item_id FROM eval_items WHERE item_id IS NOT NULL) LEFT JOIN ({SQL['p8_found']}) USING (item_id) GROUP BY 1"
+SQL["p10_groups"] = f"""WITH k AS (SELECT doc_id, coalesce(text, '') AS t, {_skeleton("coalesce(text, '')")} AS k FROM documents), g AS (SELECT k, min(doc_id) AS group_id, count(*) AS documents, count(DISTINCT t) AS variants FROM k GROUP BY 1)
+SELECT doc_id, group_id, documents, variants FROM k JOIN g USING (k)"""
+SQL["p1_records"] = f"""SELECT group_id, max(text) FILTER (field_name = 'text') AS text, max(modified) FILTER (field_name = 'modified') AS modified, max(path) FILTER (field_name = 'path') AS path,
+max(document_id) FILTER (field_name = 'text') AS text_from, max(document_id) FILTER (field_name = 'modified') AS modified_from, max(document_id) FILTER (field_name = 'path') AS path_from FROM ({SQL["p1_found"]}) JOIN procedure_documents USING (document_id) GROUP BY 1"""

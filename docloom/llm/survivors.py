@@ -25,8 +25,8 @@ def _members(groups: DataFrame) -> DataFrame:
     return members.join(several, "group_id", "left_semi")
 
 
-def _scored(docs: DataFrame, roots: DataFrame) -> DataFrame:
-    """(document_id, words, moment, trust): what each field's rank looks at; null where it takes no part."""
+def _scored(docs: DataFrame, roots: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(document_id, words, moment, trust, keep...): what each field's rank looks at; null where it takes no part."""
     kinds = dict(docs.dtypes)
     words = F.size(F.array_distinct(F.regexp_extract_all(F.lower(unescape(F.col("text"))), F.lit(r"[\p{L}\p{N}]+"), 0)))
     when = moment(F.col("modified"))
@@ -37,12 +37,13 @@ def _scored(docs: DataFrame, roots: DataFrame) -> DataFrame:
         F.when(words > 0, words.cast("long")).alias("words"),
         F.when(when.between(first, loaded), F.unix_micros(when)).alias("moment"),
         path_root(F.col("path")).alias("root"),
+        *keep,
     )
     ranks = roots.where("root_name is not null").groupBy(F.lower(F.trim("root_name")).alias("root")).agg(F.min("trust_rank").cast("long").alias("trust"))
     if ranks.limit(FEW_ROOTS + 1).count() <= FEW_ROOTS:
         ranks = F.broadcast(ranks)
     last = F.lit(2**62)
-    return rows.join(ranks, "root", "left").select("document_id", "words", "moment", F.when(F.col("root").isNotNull(), F.coalesce("trust", last)).alias("trust"))
+    return rows.join(ranks, "root", "left").select("document_id", "words", "moment", F.when(F.col("root").isNotNull(), F.coalesce("trust", last)).alias("trust"), *keep)
 
 
 def surviving_fields(docs: DataFrame, groups: DataFrame, roots: DataFrame) -> DataFrame:
@@ -62,10 +63,13 @@ def surviving_fields(docs: DataFrame, groups: DataFrame, roots: DataFrame) -> Da
 def surviving_records(docs: DataFrame, groups: DataFrame, roots: DataFrame) -> DataFrame:
     """One built record per group: (group_id, text, modified, path, text_from, modified_from, path_from).
 
-    Values are the stored ones of the surviving members; a field without survivor is null.
+    Values are the stored ones of the surviving members; a field without survivor is null.  Of rows that
+    repeat a document the one that won gives the value (of equal ones the larger value).
     """
     chosen = surviving_fields(docs, groups, roots)
-    values = docs.select(F.col("document_id").cast("long").alias("document_id"), "text", "modified", "path").dropDuplicates(["document_id"])
+    asked = docs.join(chosen.select(F.col("document_id").alias("_asked")).distinct(), F.col("document_id").cast("long") == F.col("_asked"), "left_semi")
+    won = lambda field, score: F.max_by(field, F.when(F.col(score).isNotNull(), F.struct(F.col(score) if score != "trust" else -F.col(score), F.col(field)))).alias(field)
+    values = _scored(asked, roots, ("text", "modified", "path")).groupBy("document_id").agg(won("text", "words"), won("modified", "moment"), won("path", "trust"))
     got = chosen.join(values, "document_id").select("group_id", "field_name", "document_id", F.expr("case field_name when 'text' then text when 'modified' then modified else path end").alias("value"))
     pick = lambda what, field: F.max(F.when(F.col("field_name") == field, F.col(what)))
     return got.groupBy("group_id").agg(*[pick("value", f).alias(f) for f in ("text", "modified", "path")], *[pick("document_id", f).alias(f"{f}_from") for f in ("text", "modified", "path")])

@@ -56,3 +56,15 @@ def test_empty(spark):
     for d, g in ((docs.limit(0), goals), (docs, goals), (docs, goals.limit(0))):
         drawn, report = mixing.mixture(d, g)
         assert drawn.count() == 0 and report.count() == g.count()
+
+
+def test_domains_hand_shortages_to_siblings_first(spark):
+    made = [(k, "word " * 40, "en", "a_small", 1, 1) for k in range(10)] + [(100 + k, "word " * 40, "en", "a_large", 1, 1) for k in range(400)] + [(1000 + k, "word " * 40, "en", "b_large", 1, 1) for k in range(400)]
+    goals = spark.createDataFrame([("m", "a_small", 0.4, 1), ("m", "a_large", 0.2, 2), ("m", "b_large", 0.4, 2)], GOALS)
+    docs = spark.createDataFrame(made, KIND)
+    budget = {"m": 200.0 * 40}
+    shares = lambda domains: {r.source: r.actual_share for r in mixing.mixture(docs, goals, budgets=budget, domains=domains)[1].collect()}
+    one, two = shares(None), shares({"a_small": "a", "a_large": "a", "b_large": "b"})
+    # The small source has a twentieth of the budget.  Within its domain the sibling takes all it lacks; without domains both do.
+    assert abs(two["b_large"] - 0.4) < 0.01 and abs(two["a_large"] - 0.55) < 0.01 and abs(two["a_small"] - 0.05) < 0.01
+    assert one["b_large"] > 0.6 and abs(one["a_small"] - 0.05) < 0.01

@@ -62,3 +62,12 @@ def test_hot_parts_are_cut_into_blocks(spark, monkeypatch):
 def test_empty_table(spark):
     near = near_duplicates(spark.createDataFrame([], KIND), "document_id", F.col("text"))
     assert pairs(near).count() == 0 and groups(near).count() == 0
+
+
+def test_several_texts_under_one_id(spark):
+    """One of the texts of an id is taken, the same each time; rows that repeat whole count once."""
+    words = lambda k: " ".join(f"w{k}x{j}" for j in range(40))
+    rows = [(1, words(1)), (1, words(2)), (1, words(1)), (2, words(1)), (3, words(2)), (2, words(1))]
+    made = [near_duplicates(spark.createDataFrame([(i, t, "x", 1, [1]) for i, t in order], KIND), "document_id", F.col("text"), 3, 0.5) for order in (rows, rows[::-1])]
+    found = [{tuple(r) for r in pairs(near).collect()} for near in made]
+    assert found[0] == found[1] and found[0] in ({(1, 2)}, {(1, 3)}) and groups(made[0]).count() == 3

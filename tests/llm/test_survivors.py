@@ -1,5 +1,7 @@
 from datetime import datetime
 
+from pyspark.sql import functions as F
+
 from docloom.llm.survivors import surviving_fields, surviving_records
 
 KIND = "document_id long, text string, modified string, path string, loaded_at timestamp, group_id string, score int"
@@ -40,3 +42,9 @@ def test_empty(spark):
     assert surviving_fields(docs.limit(0), groups, roots).count() == 0
     assert surviving_fields(docs, groups.limit(0), roots).count() == 0
     assert {r.field_name for r in surviving_fields(docs, groups, roots.limit(0)).collect()} == {"text", "modified", "path"}
+
+
+def test_repeated_documents_give_the_value_that_won(spark):
+    docs = spark.createDataFrame([(1, "a b c", "2020-01-01", "x/1"), (1, "a b c d", "2021-01-01", "x/2"), (2, "a", "2019-01-01", "x/3")], "document_id long, text string, modified string, path string").withColumn("loaded_at", F.lit("2024-01-01").cast("timestamp_ntz"))
+    got = surviving_records(docs, spark.createDataFrame([("g", 1), ("g", 2)], "group_id string, document_id long"), spark.createDataFrame([("x", 1)], "root_name string, trust_rank int")).collect()
+    assert [(r.text, r.modified, r.path) for r in got] == [("a b c d", "2021-01-01", "x/2")]
