@@ -192,6 +192,13 @@ def pipeline_final(spark, folder):
     return pipeline.find_duplicates(docs).final.select("cluster_label", "item1_id", "item2_id", r6("similarity"), "heuristic_relationship_type", "llm_relationship_type")
 
 
+@query
+def pipeline_from_bodies(spark, folder):
+    """From JSON bodies to final pairs: documents, weights, clusters of their own, candidates, labels."""
+    docs = sources.documents_from_bodies(table(spark, folder, "procedure_raw")).withColumnRenamed("raw_id", "document_id")
+    return pipeline.find_duplicates(docs).final.select("cluster_label", "item1_id", "item2_id", r6("similarity"), "heuristic_relationship_type", "llm_relationship_type")
+
+
 # Cluster statistics.
 @query
 def cluster_statistics(spark, folder):

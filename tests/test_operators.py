@@ -224,3 +224,26 @@ def test_encoder(spark):
     rows = spark.createDataFrame([(1, "abba"), (2, None), (3, "Zz!")], "id int, t string").select("id", encode(F.col("t"), letter_shares, 2).alias("v")).collect()
     got = {r.id: np.array(r.v) for r in rows}
     assert np.allclose(got[1][:3], [2**-0.5, 2**-0.5, 0]) and not got[2].any() and got[3][25] == 1 and len(got[2]) == 26
+
+
+def test_large_groups_are_clustered_in_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    x = np.repeat(np.eye(8)[:3], 30, axis=0) + 0.05 * rng.standard_normal((90, 8))
+    rows = spark.createDataFrame([(k, [float(v) for v in r], k % 2) for k, r in enumerate(x)] + [(100, None, 0)], "id long, v array<double>, g int")
+    alone = {r.id: r.cluster_label for r in density.density_clusters(rows, "id", "v", "g", min_size=10).collect()}
+    monkeypatch.setattr(density, "MOST_ROWS", 20)
+    assert {r.id: r.cluster_label for r in density.density_clusters(rows, "id", "v", "g", min_size=10).collect()} == alone and alone[100] == -1 and len(set(alone.values())) == 4
+
+
+def test_core_distance_leaves_the_point_itself_out():
+    """Five points in a row of growing gaps: with one sample the core distance is that to the nearest other point."""
+    angles = np.array([0.0, 0.1, 0.3, 0.7, 1.5])
+    x = np.column_stack([np.cos(angles), np.sin(angles)])
+    d = np.sqrt(np.maximum(2 - 2 * x @ x.T, 0))
+    seen = {}
+    original, density._tree = density._tree, lambda v, core: seen.update(core=core) or original(v, core)
+    try:
+        density.density_labels(x, min_size=2, min_samples=1, epsilon=0.0)
+    finally:
+        density._tree = original
+    assert np.allclose(seen["core"], np.sort(d, axis=1)[:, 1])

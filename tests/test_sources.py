@@ -80,9 +80,21 @@ def test_sinks(spark, tmp_path):
 
 def test_stream(spark, tmp_path):
     folder = tmp_path / "in"
-    spark.createDataFrame([(1, "The officer rescinds D25."), (2, "Nothing.")], "doc_id int, text string").write.parquet(str(folder))
+    spark.createDataFrame([(1, "The system rescinds D18."), (2, "Nothing.")], "doc_id int, text string").write.parquet(str(folder))
     stream = spark.readStream.schema("doc_id int, text string").parquet(str(folder))
     found = []
     map_stream(stream, lambda rows, k: found.extend(rows.select("doc_id", "event_type").collect()), str(tmp_path / "cp"), availableNow=True).awaitTermination(120)
     assert [tuple(r) for r in found] == [(1, "PenaltyRescission")]
     assert events.SCHEMA_VERSION
+
+
+def test_report_has_toggles_and_differences(spark, tmp_path):
+    from docloom.sources import sinks
+
+    links = spark.createDataFrame([("Dup<1>", "a", "b", 2.0, 0.1, 1.2)], "relationship string, source_node string, target_node string, width double, source_angle double, target_angle double")
+    arcs = spark.createDataFrame([("a", 0.0, 1.0)], "node string, start double, end double")
+    records = spark.createDataFrame([("pair-1", "a - b", "Dup<1>", "same old text", "same new text</script>", False, False)], "id string, label string, relationship string, sourceText string, targetText string, sourceTruncated boolean, targetTruncated boolean")
+    sinks.html_report("T", links, arcs, records, str(tmp_path / "r.html"))
+    page = (tmp_path / "r.html").read_text()
+    assert 'data-relationship="Dup&lt;1&gt;"' in page and 'id="toggles"' in page and 'id="search"' in page
+    assert '{"op":"delete","token":"old"}' in page and '{"op":"insert","token":"new"}' in page and page.count("</script>") == 2

@@ -82,10 +82,10 @@ def test_moments(spark):
 
 def test_acronyms(spark):
     want = {
-        1: "The field of artificial intelligence and natural language processing is growing rapidly. We need to check the database for the estimated time of arrival.",
-        2: "We are working on Natural Language Processing techniques. The application programming interface is ready.",
-        3: "The new feature uses Central Processing Unit for better performance. What about random access memory?",
-        4: "The US government is interested in IT. My PM will give an estimated time of arrival. Also, we use Data Driven approaches.",
+        1: "Our artificial intelligence group stores every natural language processing model in one database, with an estimated time of arrival for each.",
+        2: "Staff file a Request For Comment first. Each Staff file a Request For Comment names its application programming interface.",
+        3: "Each node has one Graphics Processing Unit and little random access memory.",
+        4: "Ask the PM whether IT in the US sends the estimated time of arrival. Payments go by Delayed Debit since May.",
         5: None,
     }
     rows = spark.createDataFrame(fixtures.ACRONYMS, "id int, text string").select("id", abbreviations.expand_column(F.col("text"))["text"].alias("t")).collect()
