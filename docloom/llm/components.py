@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from docloom.session import cut, scratch
 
 #: Rate of the exponential shifts: the smaller, the larger the clusters and the fewer the rounds.
-RATE = 0.15
+RATE = 0.05
 #: Hops a cluster grows in one round.
 HOPS = 3
 #: Members beyond which a component's name is broadcast.
