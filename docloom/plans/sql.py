@@ -144,6 +144,15 @@ k AS (SELECT *, CASE WHEN ok THEN trim(coalesce(json_extract_string(b, '$.relati
 _EXEMPLARS = f"SELECT frame, lexical_unit, sentence_id, {_strip('text')} AS text, cast(row_number() OVER (PARTITION BY {{0}} ORDER BY sentence_id, lexical_unit_id) AS INTEGER) AS place FROM {fixtures.values(fixtures.EXAMPLES, 'frame, lexical_unit, lexical_unit_id, sentence_id, text')} QUALIFY place <= 2"
 _PLAIN = f"trim(regexp_replace(regexp_replace(coalesce({{0}}, ''), '</?[^>]+>', '', 'g'), {_q(S + '+')}, ' ', 'g'))"
 
+_FORMS = """unnest(CASE WHEN contains(l, ' ') THEN [l] WHEN p = 'v' AND ends_with(l, 'e') THEN [l, l || 'd', l || 's', substring(l, 1, length(l) - 1) || 'ing'] WHEN p = 'v' AND ends_with(l, 'y') THEN [l, substring(l, 1, length(l) - 1) || 'ied', substring(l, 1, length(l) - 1) || 'ies', l || 'ing']
+WHEN p = 'v' THEN [l, l || 'ed', l || 's', l || 'ing', l || 'es'] WHEN p = 'n' AND regexp_matches(l, '(s|x|z|ch|sh)$') THEN [l, l || 'es'] WHEN p = 'n' THEN [l, l || 's'] ELSE [l] END)"""
+_FRAMES = rf"""{_EVENTS}, e AS (SELECT *, CASE event_type WHEN 'PenaltyImposition' THEN 'Rewards_and_punishments' WHEN 'PenaltyTermination' THEN 'Activity_stop' WHEN 'PenaltySuspension' THEN 'Activity_pause' END AS frame FROM ev),
+lu AS (SELECT *, regexp_replace(u, '\.[^.]*$', '') AS l, regexp_extract(u, '[^.]*$') AS p FROM {fixtures.values([(name, u) for name, _, _, units in fixtures.FRAMES for u in units], 'frame, u')}),
+fe AS (SELECT frame, list(n) AS known FROM {fixtures.values([(name, n) for name, _, names, _ in fixtures.FRAMES for n in names], 'frame, n')} GROUP BY 1), form AS (SELECT frame, u, {_FORMS} AS f FROM lu),
+hit AS (SELECT doc_id, sentence_index, u FROM e JOIN form USING (frame) WHERE regexp_matches(sentence, '(?i)\b' || f || '\b') QUALIFY row_number() OVER (PARTITION BY doc_id, sentence_index ORDER BY length(regexp_extract(sentence, '(?is)^(.*?)\b' || f || '\b', 1)), -length(f), u) = 1),
+n AS (SELECT e.*, known, u, list_filter(CASE WHEN event_type = 'PenaltyImposition' THEN ['Agent', 'Evaluee', 'Response_action', CASE WHEN cond IS NOT NULL THEN 'Reason' END, CASE WHEN time_text IS NOT NULL THEN 'Time' END]
+ WHEN frame IS NULL THEN [] ELSE ['Agent', 'Activity', CASE WHEN cond IS NOT NULL THEN 'Explanation' END, CASE WHEN time_text IS NOT NULL THEN 'Time' END] END, lambda x: x IS NOT NULL) AS names FROM e LEFT JOIN fe USING (frame) LEFT JOIN hit USING (doc_id, sentence_index))"""
+
 SQL: dict[str, str] = {
     "p6_found": _NODES,
     "dup_pairs_tfidf": f"WITH {_PAIRS} SELECT * FROM p",
@@ -236,4 +245,6 @@ SELECT doc_id, cast(k AS INTEGER) AS place, round(n / sqrt(sum(n * n) OVER (PART
     "csv_round_trip": "SELECT item1_id, item2_id, " + ", ".join(f"coalesce({c}, '') AS {c}" for c in ("item1_title", "item2_path", "llm_relationship_type", "llm_analysis")) + " FROM llm_analyzed_duplicates",
     "verses_read": "SELECT trim(book) AS book, chapter, verse_number, min(text) AS text FROM aggregated_vectors WHERE source IS NOT NULL AND book IS NOT NULL AND chapter IS NOT NULL AND verse_number IS NOT NULL AND text IS NOT NULL AND regexp_matches(book, '^[a-zA-Z ]+$') GROUP BY source, book, chapter, verse_number",
     "p6_links_in_sections": rf"WITH n AS ({_NODES}) SELECT o.raw_id, o.node_address AS outer_address, l.node_address AS inner_address FROM n o JOIN n l ON o.raw_id = l.raw_id AND starts_with(l.node_address, o.node_address || '/') WHERE regexp_matches(o.node_address, '^sections(/\d+)*$') AND regexp_matches(l.node_address, '/links(/\d+)*$')",
+    "events_frames": f"""WITH {_FRAMES} SELECT doc_id, sentence_index, CASE WHEN frame IS NULL THEN 'domain_event_only' WHEN u IS NOT NULL THEN 'validated_exact_lu' ELSE 'validated_frame_no_exact_lu' END AS "validationStatus", u AS "lexicalUnit",
+coalesce(array_to_string(list_sort(names), ','), '') AS elements, CASE WHEN frame IS NOT NULL THEN coalesce(array_to_string(list_filter(names, lambda x: NOT list_contains(known, x)), ','), '') END AS invalid FROM n""",
 }
