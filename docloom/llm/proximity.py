@@ -6,11 +6,12 @@ neighbours, and a neighbour is kept only if no kept one is much nearer to it tha
 in each shard it is sent to.  All searches of a batch run side by side in numpy.
 
 Shards come from landmarks, in levels: those of the first are fitted on a bounded sample of all rows,
-those of the next inside each shard that is still too large, on a bounded sample of its rows, and so
-on.  So shards grow in number with the data and not in size, and a query goes to ``PROBES`` of them at
-most, whatever the number of rows.  Every row is indexed.  The queries to a shard are cut into blocks,
-so neither a task's index nor its queries grow with the data.  Exact copies are folded before and
-unfolded after.
+those of the next inside each shard, on a bounded sample of its rows, and so on.  So shards grow in
+number with the data and not in size, and a query goes to ``PROBES`` of them at most, whatever the
+number of rows.  All landmarks travel to the tasks: a row follows several ways down at once and compares
+the finest landmarks only, so that like rows meet wherever the first levels part them.  Every row is
+indexed.  The queries to a shard are cut into blocks, so neither a task's index nor its queries grow with
+the data.  Exact copies are folded before and unfolded after.
 """
 
 from __future__ import annotations
@@ -29,9 +30,11 @@ from docloom.session import cut, scratch, task_count
 
 DEGREE, BEAM, QUERY_BEAM, ALPHA = 24, 40, 48, 1.2
 #: Rows of the sample landmarks are fitted on, landmarks, rows of a shard (about), shards a query looks through, how much less like a landmark may be than the best, queries in one task.
-SAMPLE, LANDMARKS, SHARD, PROBES, MARGIN, QUERIES_A_TASK = 20_000, 512, 4_096, 4, 0.2, 40_000
-#: Levels of landmarks at most: LANDMARKS ** MOST_LEVELS shards.  What is too large even so lies in one direction and is cut by hash.
-MOST_LEVELS = 4
+SAMPLE, LANDMARKS, SHARD, PROBES, MARGIN, QUERIES_A_TASK = 20_000, 512, 4_096, 8, 0.2, 40_000
+#: Levels of landmarks at most, and landmarks at which they end (64 MB).  What is too large even so is cut by hash.
+MOST_LEVELS, MOST_MARKS = 4, 262_144
+#: Landmarks per SHARD rows where there are several levels, and shards of a level that a row's way down goes through at most.
+MARKS_A_SHARD, WAYS = 32, 16
 #: Searches side by side, nodes of each looked around at a time.
 _STEP, _ROUND = 512, 4
 
@@ -218,7 +221,7 @@ def _nearest_shards(x: np.ndarray, marks: np.ndarray, shards: np.ndarray, probes
 
 @dataclass(frozen=True)
 class Shards:
-    """Landmarks by level: those of the first, and per further level a table (shard, n, marks, numbers).
+    """Landmarks in levels: those of all rows, and per further level those of the shards it splits.
 
     The shards below shard s are numbered s * LANDMARKS + 1 and on; all lie below shard 0.
     """
@@ -226,71 +229,84 @@ class Shards:
     width: int
     marks: np.ndarray
     numbers: np.ndarray
-    levels: list[DataFrame]
+    levels: list[dict[int, tuple[np.ndarray, np.ndarray]]]
+
+    def size(self) -> int:
+        """How many landmarks there are."""
+        return len(self.marks) + sum(len(marks) for level in self.levels for marks, _ in level.values())
+
+    def nearest(self, x: np.ndarray, probes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, shard, score), by row and best first: ``probes`` shards at most that are near each row.
+
+        Until the last level more ways are followed than that: which shard is near shows by its finest
+        landmarks only.
+        """
+        ways = max(probes, WAYS) if self.levels else probes
+        row, shard, score = _nearest_shards(x, self.marks, self.numbers, ways)
+        shard = shard + 1
+        for level in self.levels:
+            order = np.argsort(shard, kind="stable")
+            at, start = np.unique(shard[order], return_index=True)
+            parts, split = [], np.zeros(len(row), bool)
+            for s, a, b in zip(at.tolist(), start.tolist(), [*start[1:].tolist(), len(order)], strict=True):
+                if s in level:
+                    some = order[a:b]
+                    split[some] = True
+                    mine, below, likeness = _nearest_shards(x[row[some]], *level[s], 2 * probes)
+                    parts.append((row[some][mine], s * LANDMARKS + 1 + below, likeness))
+            parts.append((row[~split], shard[~split], score[~split]))
+            row, shard, score = (np.concatenate(v) for v in zip(*parts, strict=True))
+            row, shard, score = _best(row, shard, score, ways)
+        return _best(row, shard, score, probes)
 
     def route(self, rows: DataFrame, probes: int) -> DataFrame:
-        """(rep, vec, shard, score): each row (rep, vec) with ``probes`` shards at most that are near it."""
-        return _below(_first(rows, self.width, self.marks, self.numbers, probes), self.levels, self.width, probes)
+        """(rep, vec, shard, score): each row (rep, vec) with ``probes`` shards at most that are near it; a row's shards follow each other."""
+        sent = rows.sparkSession.sparkContext.broadcast(self)  # about MOST_MARKS vectors at most
 
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if batch.num_rows:
+                    row, shard, score = sent.value.nearest(matrix(batch.column(1), sent.value.width), probes)
+                    yield pa.RecordBatch.from_arrays([*batch.take(pa.array(row)).columns, pa.array(shard, pa.int64()), pa.array(score)], ["rep", "vec", "shard", "score"])
 
-def _first(rows: DataFrame, width: int, marks: np.ndarray, numbers: np.ndarray, probes: int) -> DataFrame:
-    sent = rows.sparkSession.sparkContext.broadcast((marks, numbers))  # at most LANDMARKS vectors
+        return rows.select("rep", "vec").mapInArrow(run, "rep long, vec binary, shard long, score double")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                row, shard, score = _nearest_shards(matrix(batch.column(1), width), *sent.value, probes)
-                yield pa.RecordBatch.from_arrays([*batch.take(pa.array(row)).columns, pa.array(shard + 1, pa.int64()), pa.array(score)], ["rep", "vec", "shard", "score"])
 
-    return rows.select("rep", "vec").mapInArrow(run, "rep long, vec binary, shard long, score double")
-
-
-def _below(rows: DataFrame, levels: list[DataFrame], width: int, probes: int) -> DataFrame:
-    """Rows (rep, vec, shard, score) that stand in a shard with landmarks of its own move to the shards below it."""
-    tasks = task_count(rows.sparkSession)
-
-    def step(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame({"rep": [], "vec": [], "shard": [], "score": []})
-        model = right.iloc[0]
-        marks, numbers = np.frombuffer(model["marks"], np.float32).reshape(-1, width), np.frombuffer(model["numbers"], np.int64)
-        row, shard, score = _nearest_shards(matrix(left["vec"].tolist(), width), marks, numbers, probes)
-        return pd.DataFrame({"rep": left["rep"].to_numpy()[row], "vec": left["vec"].to_numpy()[row], "shard": model["shard"] * LANDMARKS + 1 + shard, "score": score})
-
-    for level in levels:
-        blocks = level.select("shard", F.ceil(F.col("n") / QUERIES_A_TASK).cast("int").alias("blocks"))
-        left = rows.join(blocks, "shard").withColumn("block", F.pmod(F.xxhash64("rep", F.lit(5)), "blocks").cast("int")).drop("blocks")
-        right = level.join(blocks, "shard").select("shard", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "marks", "numbers")
-        keys = ["shard", "block"]
-        moved = left.repartition(tasks, *keys).groupBy(*keys).cogroup(right.repartition(tasks, *keys).groupBy(*keys)).applyInPandas(step, "rep long, vec binary, shard long, score double")
-        rows = rows.join(blocks.select("shard"), "shard", "left_anti").select("rep", "vec", "shard", "score").unionByName(moved)
-        if probes > 1:  # the best of all, so that the number of shards a row goes to stays the same
-            best = Window.partitionBy("rep").orderBy(F.desc("score"), F.asc("shard"))
-            rows = rows.withColumn("place", F.row_number().over(best)).where(F.col("place") <= probes).drop("place")
-    return rows
+def _best(row: np.ndarray, shard: np.ndarray, score: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ``most`` best of each row, best first."""
+    order = np.lexsort((shard, -score, row))
+    row, shard, score = row[order], shard[order], score[order]
+    start = np.flatnonzero(np.append(True, row[1:] != row[:-1])[: len(row)])
+    keep = np.arange(len(row)) - np.repeat(start, np.diff(np.append(start, len(row)))) < most
+    return row[keep], shard[keep], score[keep]
 
 
 def make_shards(reps: DataFrame, width: int) -> tuple[Shards, DataFrame, DataFrame]:
     """Shards fitted to the rows, the rows in them (rep, vec, shard), and the shards' sizes (shard, n)."""
     total = reps.count()
+    fine = max(1, SHARD // MARKS_A_SHARD)
+    several = total > LANDMARKS * fine  # one level would have too few landmarks to tell near shards from others
+    count = max(2, min(LANDMARKS, total // (4 * SHARD))) if several else LANDMARKS
     share = min(1.0, 1.5 * SAMPLE / max(1, total))
     drawn = reps.where(F.pmod(F.xxhash64("rep"), F.lit(1_000_003)) <= share * 1_000_003).limit(2 * SAMPLE).select("vec").collect()  # bounded by 2 * SAMPLE rows
-    shards = Shards(width, *fit(matrix([bytes(r.vec) for r in drawn], width), total, LANDMARKS, SHARD), [])
+    # With further levels each landmark of the first is a shard by itself, which they split.
+    shards = Shards(width, *fit(matrix([bytes(r.vec) for r in drawn], width), total, count, 0 if several else SHARD), [])
 
     def model(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        marks, numbers = fit(matrix(rows.sort_values("rep")["vec"].tolist(), width), int(rows["n"].iloc[0]), LANDMARKS, SHARD)
-        return pd.DataFrame({"shard": [key[0]], "n": [rows["n"].iloc[0]], "marks": [marks.tobytes()], "numbers": [numbers.astype(np.int64).tobytes()]})
+        n = int(rows["n"].iloc[0])
+        marks, numbers = fit(matrix(rows.sort_values("rep")["vec"].tolist(), width), n, max(2, min(LANDMARKS, n // fine)), SHARD)
+        return pd.DataFrame({"shard": [key[0]], "marks": [marks.tobytes()], "numbers": [numbers.astype(np.int64).tobytes()]})
 
-    rows = _first(reps, width, shards.marks, shards.numbers, 1)
     for number in range(MOST_LEVELS):
+        rows = cut(shards.route(reps, 1).select("rep", "vec", "shard"))
         sizes = cut(rows.groupBy("shard").agg(F.count("*").alias("n")))  # a row per shard
-        large = sizes.where(F.col("n") > 2 * SHARD)
-        if number == MOST_LEVELS - 1 or large.isEmpty():
+        large = sizes.where(F.col("n") > (2 * fine if several and number == 0 else 2 * SHARD))
+        if number == MOST_LEVELS - 1 or shards.size() >= MOST_MARKS or large.isEmpty():
             break
         some = rows.join(large, "shard").where(F.pmod(F.xxhash64("rep", F.lit(31)), F.lit(1_000_003)) <= F.least(F.lit(1.0), SAMPLE / F.col("n")) * 1_000_003)
-        level = cut(some.select("shard", "n", "rep", "vec").groupBy("shard").applyInPandas(model, "shard long, n long, marks binary, numbers binary"))
-        shards.levels.append(level)
-        rows = cut(_below(rows, [level], width, 1))
+        made = some.select("shard", "n", "rep", "vec").groupBy("shard").applyInPandas(model, "shard long, marks binary, numbers binary")
+        # At most LANDMARKS vectors a shard, or one per ``fine`` rows; levels end at MOST_MARKS.
+        shards.levels.append({r.shard: (np.frombuffer(bytes(r.marks), np.float32).reshape(-1, width), np.frombuffer(bytes(r.numbers), np.int64)) for r in made.toLocalIterator()})
     return shards, rows, sizes
 
 
@@ -316,20 +332,16 @@ def send(queries: DataFrame, shards: Shards, parts: DataFrame, probes: int = PRO
     """
     sent = shards.route(queries, probes)
     if probes > 1:
-        best = Window.partitionBy("rep")
-        if shards.levels:
-            sent = sent.withColumn("best", F.max("score").over(best)).where(F.col("score") >= F.col("best") - MARGIN)
-        else:  # a row's shards come from one batch: no shuffle is needed
-
-            def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-                for batch in batches:
-                    rep, score = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 3))
-                    if len(rep):
-                        start = np.flatnonzero(np.append(True, rep[1:] != rep[:-1]))
-                        top = np.repeat(np.maximum.reduceat(score, start), np.diff(np.append(start, len(rep))))
-                        yield batch.filter(pa.array(score >= top - MARGIN))
-
-            sent = sent.mapInArrow(near, "rep long, vec binary, shard long, score double")
+
+        def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                rep, score = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 3))
+                if len(rep):
+                    start = np.flatnonzero(np.append(True, rep[1:] != rep[:-1]))
+                    top = np.repeat(np.maximum.reduceat(score, start), np.diff(np.append(start, len(rep))))
+                    yield batch.filter(pa.array(score >= top - MARGIN))
+
+        sent = sent.mapInArrow(near, "rep long, vec binary, shard long, score double")
     return sent.join(parts, "shard").select("rep", "shard", "vec", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
 
 

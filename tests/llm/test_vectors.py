@@ -216,3 +216,20 @@ def test_shards_grow_in_number_and_not_in_size(spark, monkeypatch):
         want = {(i, int(j)) for i, b in enumerate(np.argpartition(-sims, 5, axis=1)[:, :5]) for j in b}
         assert len({tuple(r) for r in found} & want) >= 0.9 * len(want)
     assert max(copies.values()) <= proximity.PROBES / 2
+
+
+def test_pairs_are_found_across_many_shards(spark, monkeypatch):
+    """Far more groups of like vectors than landmarks of one level: neighbours in other shards are found all the same."""
+    monkeypatch.setattr(proximity, "LANDMARKS", 16)
+    monkeypatch.setattr(proximity, "SHARD", 256)
+    monkeypatch.setattr(proximity, "SAMPLE", 2_000)
+    rng = np.random.default_rng(12)
+    x = np.repeat(rng.standard_normal((1_000, 64)), 12, axis=0) + rng.choice([0.2, 0.3, 0.4], 12_000)[:, None] * rng.standard_normal((12_000, 64))
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype("<f4")[rng.permutation(12_000)]
+    sims = x @ x.T
+    np.fill_diagonal(sims, -2)
+    best = np.argpartition(-sims, 5, axis=1)[:, :5]
+    want = {(min(i, int(j)), max(i, int(j))) for i in range(12_000) for j in best[i] if sims[i, j] >= 0.8}
+    vectors = spark.createDataFrame([(k, bytearray(v.tobytes())) for k, v in enumerate(x)], "vec_id long, vec binary")
+    found = {tuple(r) for r in proximity.close_pairs(proximity.nearest(vectors)).collect()}
+    assert len(found & want) >= 0.98 * len(want)
