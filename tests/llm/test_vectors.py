@@ -233,3 +233,41 @@ def test_pairs_are_found_across_many_shards(spark, monkeypatch):
     vectors = spark.createDataFrame([(k, bytearray(v.tobytes())) for k, v in enumerate(x)], "vec_id long, vec binary")
     found = {tuple(r) for r in proximity.close_pairs(proximity.nearest(vectors)).collect()}
     assert len(found & want) >= 0.98 * len(want)
+
+
+def test_memory_of_a_task_is_bounded():
+    """A full tree, a dense cell and a dense bucket take tens of MB, not hundreds."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(8)
+
+    def peak(f):
+        tracemalloc.start()
+        try:
+            f()
+            return tracemalloc.get_traced_memory()[1] / 1e6
+        finally:
+            tracemalloc.stop()
+
+    x = rng.standard_normal((12_000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    tree = clusters.FeatureTree(64)
+    for v in x:
+        tree.insert(2.0, 2 * v, 2.0)
+    assert tree.leaves > 11_000
+    assert peak(lambda: tree._absorb(x[:4_096])) < 150
+
+    dense = (x[0] + 0.02 * rng.standard_normal((16_384, 64))).astype(np.float32)
+    dense /= np.linalg.norm(dense, axis=1, keepdims=True)
+    ids = np.arange(16_384)
+    made = []
+    assert peak(lambda: made.append(clusters._edges(ids[:2_048], dense[:2_048], ids, dense, 0.8))) < 150
+    assert len(made[0]) == 16_383
+
+    n = 3_000
+    rows = pa.table({"key": [1] * n, "rep": range(n), **{f"s{k}": [5] * n for k in range(clusters.WORDS)}, "lo": [0] * n, "hi": [0] * n, "second": [False] * n})
+    count = []
+    assert peak(lambda: count.append(sum(b.num_rows for b in clusters._alike(rows, [f"s{k}" for k in range(clusters.WORDS)], 60, 100)))) < 150
+    assert count == [n * (n - 1) // 2]
