@@ -71,3 +71,15 @@ def test_several_texts_under_one_id(spark):
     made = [near_duplicates(spark.createDataFrame([(i, t, "x", 1, [1]) for i, t in order], KIND), "document_id", F.col("text"), 3, 0.5) for order in (rows, rows[::-1])]
     found = [{tuple(r) for r in pairs(near).collect()} for near in made]
     assert found[0] == found[1] and found[0] in ({(1, 2)}, {(1, 3)}) and groups(made[0]).count() == 3
+
+
+def test_places_bound_the_sizes_that_are_met():
+    """A token far back in a set leaves few others to share: only sets hardly larger are met under it, and none that can match is left out."""
+    import numpy as np
+    from docloom.llm.near import _farthest
+
+    for threshold in (0.5, 0.8, 1.0):
+        for size in range(1, 70):
+            for j in range(int(size * (1 - threshold)) + 1):
+                can = [n for n in range(size, 150) if size >= threshold * n - 1e-9 and size - j >= threshold / (1 + threshold) * (size + n) - 1e-9]
+                assert max(can, default=0) == max(0, x if (x := int(_farthest(np.array([size]), np.array([size - j]), threshold)[0])) >= size else 0)
