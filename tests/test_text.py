@@ -121,3 +121,22 @@ def test_diff_prefers_insertions():
     left, right, _ = diff.token_diff("a b", "a c b")
     assert left == [("same", "a"), ("same", " "), ("same", "b")] and [o for o, _ in right] == ["same", "insert", "insert", "same", "same"] or [o for o, _ in right].count("insert") == 2
     assert diff.token_diff("x " * 10, "y", 4)[2] is True
+
+
+def test_diff_compares_whole_texts():
+    a = [f"w{k}" for k in range(4_000)]
+    left, right, cut = diff.token_diff(" ".join(a), " ".join([*a[:3_900], "new", *a[3_900:]]))
+    assert not cut and len(left) == 7_999 and all(o == "same" for o, _ in left)
+    assert [t for o, t in right if o == "insert"].count("new") == 1 and "".join(t for _, t in right).endswith("w3999")
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.sampled_from("abc"), max_size=40), st.lists(st.sampled_from("abc"), max_size=40))
+def test_diff_is_a_longest_common_subsequence(a, b):
+    table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i, x in enumerate(a):
+        for j, y in enumerate(b):
+            table[i + 1][j + 1] = table[i][j] + 1 if x == y else max(table[i][j + 1], table[i + 1][j])
+    left, _, _ = diff.token_diff("?".join(a), "?".join(b))
+    words = sum(o == "same" for o, _ in diff.token_diff("".join(f"{x} " for x in a), "".join(f"{x} " for x in b))[0])
+    assert sum(o == "same" for o, _ in left) >= table[-1][-1] and words >= table[-1][-1]
