@@ -2,8 +2,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from docloom.functions import vectorize
 from docloom.operators import analysis, density, events, graph, relate, similarity
 from docloom.plans import fixtures, pipeline
+from docloom.session import cut
 
 
 @pytest.fixture(scope="module")
@@ -247,3 +249,43 @@ def test_core_distance_leaves_the_point_itself_out():
     finally:
         density._tree = original
     assert np.allclose(seen["core"], np.sort(d, axis=1)[:, 1])
+
+
+def test_best_pairs_of_copies_need_no_blocks(spark, monkeypatch):
+    """Where enough pairs of equal rows exist, the best pairs come without comparing blocks, and are those of the blocks."""
+    rng = np.random.default_rng(3)
+    made = []
+    for i in range(400):
+        own = np.random.default_rng(i % 300)  # a hundred rows have a copy
+        terms = own.choice(60, 1 if i % 50 == 7 else 12, replace=False)
+        w = own.random(len(terms)) + 0.1
+        if i >= 390:
+            w[0] *= 1 + 3e-4  # nearly a copy: rounds to 1 as well
+        w /= np.sqrt((w * w).sum())
+        made += [(int(i), ("a", "b", None)[i % 3], f"t{t}", float(x)) for t, x in zip(terms, w, strict=True)]
+    rng.shuffle(made)
+    rows = spark.createDataFrame(made, "id int, g string, term string, weight double")
+    best = lambda df, n: [(r.g, r.i, r.j, round(r.similarity, 6)) for r in df.withColumn("similarity", F.round("similarity", 6)).orderBy(F.desc("similarity"), "i", "j").limit(n).collect()]
+    named = lambda df: df if "g" in df.columns else df.withColumn("g", F.lit(0))
+    want = [best(named(similarity.sparse_pairs(rows, "id", 0.3, group)), 60) for group in ((), ("g",))]
+    monkeypatch.setattr(similarity, "_blocked", lambda *a: pytest.fail("blocks were compared"))
+    assert [best(named(similarity.sparse_pairs(rows, "id", 0.3, group, top=60)), 60) for group in ((), ("g",))] == want
+
+
+def test_rows_of_weights_equal_tfidf(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "x", "aa bb aa cc"), (2, None, "bb cc dd"), (3, "x", "cc dd dd é1"), (4, "y", None), (5, "y", "zz"), (6, "x", "É1 bb ñandú ñandú")], "id int, g string, text string")
+    twice = docs.union(spark.createDataFrame([(1, "x", "dd bb")], docs.schema))
+    for d, most in ((docs, 1_000_000), (docs, 1), (twice, 1_000_000)):
+        monkeypatch.setattr(vectorize, "MOST_TERMS", most)
+        for how in ({"bigrams": True, "stop_words": ("cc",), "max_features": 3},):
+            want = {(r.id, r.g, r.t): round(r.weight, 9) for r in vectorize.tfidf(d, "id", "text", ("g",), max_df=1.0, **how).select("id", "g", F.xxhash64("term").alias("t"), "weight").collect()}
+            rows, vocab = vectorize.tfidf_rows(d, "id", "text", ("g",), max_df=1.0, **how)
+            got = {(r.id, r.g, t): round(w, 9) for r in rows.collect() for t, w in zip(r._t, r._w, strict=True)}
+            assert got == want and {k[2] for k in want} <= {r.t for r in vocab.collect()}
+
+
+def test_cut_leaves_no_shuffle_files(spark):
+    manager = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker()
+    before = manager.shuffleStatuses().size()
+    assert cut(spark.range(1_000).repartition(3, "id").groupBy((F.col("id") % 7).alias("k")).count()).count() == 7
+    assert manager.shuffleStatuses().size() <= before + 1  # that of the count
