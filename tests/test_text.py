@@ -127,6 +127,8 @@ def test_diff_compares_whole_texts():
     a = [f"w{k}" for k in range(4_000)]
     left, right, cut = diff.token_diff(" ".join(a), " ".join([*a[:3_900], "new", *a[3_900:]]))
     assert not cut and len(left) == 7_999 and all(o == "same" for o, _ in left)
+    for long in ("x y " * 100_000, " ".join(map(str, range(100_000)))):  # equal texts need no table
+        assert all(o == "same" for side in diff.token_diff(long, long)[:2] for o, _ in side)
     assert [t for o, t in right if o == "insert"].count("new") == 1 and "".join(t for _, t in right).endswith("w3999")
 
 
