@@ -192,6 +192,25 @@ def test_far_vectors_meet(spark, monkeypatch):
         assert bucket < 10_000 or set(found) == want
 
 
+def test_far_sketches_travel_a_few_tables_at_once(spark, monkeypatch):
+    """With more far vectors not all tables' sketches are on disk at once, and the pairs stay the same."""
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((600, 64))
+    x[300:] = x[:300] + 0.5 * rng.standard_normal((300, 64))
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype("<f4")
+    far = spark.createDataFrame([(k, bytearray(v.tobytes())) for k, v in enumerate(x)], "rep long, vec binary").coalesce(1)
+    monkeypatch.setattr(clusters, "BUCKET", 100)
+    rows, found = [], []
+    made = clusters.cut
+    for sketches in (10**9, 600):
+        monkeypatch.setattr(clusters, "SKETCHES", sketches)
+        rows.append([])
+        monkeypatch.setattr(clusters, "cut", lambda df: rows[-1].append(df) or made(df))
+        found.append({tuple(r) for r in clusters.far_links(far, 0.8, 64).collect()})
+    assert found[0] == found[1] and len(found[0]) > 250
+    assert len(rows[1]) > len(rows[0]) + 4  # a round of TABLES tables each
+
+
 def test_shards_grow_in_number_and_not_in_size(spark, monkeypatch):
     """With ten times the rows a query goes to no more shards, shards are no larger, and neighbours are found."""
     monkeypatch.setattr(proximity, "LANDMARKS", 8)
