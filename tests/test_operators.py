@@ -289,3 +289,16 @@ def test_cut_leaves_no_shuffle_files(spark):
     before = manager.shuffleStatuses().size()
     assert cut(spark.range(1_000).repartition(3, "id").groupBy((F.col("id") % 7).alias("k")).count()).count() == 7
     assert manager.shuffleStatuses().size() <= before + 1  # that of the count
+
+
+def test_spread_clusters_send_few_copies_at_once(spark, monkeypatch):
+    """Blocks that meet in several rounds give the clusters of one task, and no round takes all copies of the rows."""
+    rng = np.random.default_rng(4)
+    x = np.concatenate([c + 0.2 * rng.standard_normal((30, 6)) for c in 3 * rng.standard_normal((3, 6))])
+    rows = spark.createDataFrame([(k, [float(c) for c in v]) for k, v in enumerate(x)], "id long, v array<double>")
+    want = {r.id: r.cluster_label for r in density.density_clusters(rows, "id", "v").collect()}
+    cuts = []
+    monkeypatch.setattr(density, "cut", lambda df: cuts.append(df) or cut(df))
+    monkeypatch.setattr(density, "ROWS_AT_ONCE", 400)
+    assert {r.id: r.cluster_label for r in density.spread_clusters(rows, "id", "v", block=20).collect()} == want
+    assert len(set(want.values())) > 1 and len(cuts) == 2 + 2 * 3  # two tables, and two passes of three rounds
